@@ -49,3 +49,13 @@ def bind(value: Column, body) -> Column:
 def row_key(text: str | Column = "text") -> Column:
     """With doc_id, names a row even where ids repeat."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def uid_of(docs: DataFrame) -> tuple[Column, bool]:
+    """A long that names a row, and whether it is doc_id itself.
+
+    Where ids repeat or are null it is a hash of id and text instead, which equal rows share.
+    """
+    plain = not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    named = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+    return (F.col("doc_id").cast("long") if plain else named), plain

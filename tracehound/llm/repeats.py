@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, written
+from .common import arrow_rows, uid_of, written
 
 WIDTH, GRAM, STEP = 200, 32, 16
 #: Suffixes handled at once; bounds a worker's memory for texts of any length.
@@ -126,20 +126,13 @@ def runs_of(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> Iterato
         yield np.array([k for k, _, _ in part])[piece], change + shift[piece], stop - change, anchor - change, grams[anchor], place
 
 
-def _i64(a: np.ndarray) -> pa.Array:
+def as_long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """uid and text. uid is doc_id where ids are unique, else a hash of id and text (equal rows share it)."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    clash = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    return rows.withColumn("uid", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text") if clash else F.col("doc_id").cast("long"))
-
-
-def _only(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of keys' uid, without moving the texts where the keys are few enough to be sent around."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "uid", how)
+def only(rows: DataFrame, keys: DataFrame, how: str = "left_semi", key: str = "uid") -> DataFrame:
+    """Rows that have (or lack) a key, without moving the texts where the keys are few enough to be sent around."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, how)
 
 
 def _first_pass(rows: DataFrame, width: int, gram: int) -> DataFrame:
@@ -148,14 +141,14 @@ def _first_pass(rows: DataFrame, width: int, gram: int) -> DataFrame:
             uid, texts = np.asarray(b.column(0)), b.column(1).cast(pa.binary()).to_pylist()
             for text, first, n, off, digit, place in runs_of(texts, width, gram):
                 cols = [uid[text], (first << 20) | (n << 10) | off, digit, place]
-                yield pa.RecordBatch.from_arrays([_i64(c) for c in cols], ["uid", "run", "digit", "place"])
+                yield pa.RecordBatch.from_arrays([as_long(c) for c in cols], ["uid", "run", "digit", "place"])
 
     return rows.select("uid", "text").mapInArrow(scan, "uid long, run long, digit long, place long")
 
 
 def _with_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts with the wanted lists of them."""
-    return _only(rows, wanted.select("uid")).select("uid", "text").join(wanted, "uid")
+    return only(rows, wanted.select("uid")).select("uid", "text").join(wanted, "uid")
 
 
 def _sections(rows: DataFrame, wanted: DataFrame, width: int, step: int) -> DataFrame:
@@ -180,7 +173,7 @@ def _sections(rows: DataFrame, wanted: DataFrame, width: int, step: int) -> Data
                 union = mixed(union + ((piece - a).astype(np.uint64) << np.uint64(16)) + (e - a).astype(np.uint64))
                 core = mixed(core + slot.astype(np.uint64))
                 cols = [np.full(len(a), uid), (a << 20) | (e - a + 1), digit[which], slot, union, core, weight[which]]
-                yield pa.RecordBatch.from_arrays([_i64(np.asarray(c)) for c in cols], ["uid", "part", "digit", "slot", "whole", "core", "weight"])
+                yield pa.RecordBatch.from_arrays([as_long(np.asarray(c)) for c in cols], ["uid", "part", "digit", "slot", "whole", "core", "weight"])
 
     return _with_text(rows, wanted).select("uid", "text", "want").mapInArrow(scan, "uid long, part long, digit long, slot long, whole long, core long, weight long")
 
@@ -211,7 +204,7 @@ def _suffixes(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 which = np.repeat(np.arange(len(part)), n)
                 at = (part >> 20)[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 cols = [np.full(len(at), uid), at, digit[which], slot[which], _hash_ranges(text, at, at + width), weight[which]]
-                yield pa.RecordBatch.from_arrays([_i64(np.asarray(c)) for c in cols], ["uid", "at", "digit", "slot", "key", "weight"])
+                yield pa.RecordBatch.from_arrays([as_long(np.asarray(c)) for c in cols], ["uid", "at", "digit", "slot", "key", "weight"])
 
     return _with_text(rows, wanted).select("uid", "text", "want").mapInArrow(scan, "uid long, at long, digit long, slot long, key long, weight long")
 
@@ -256,13 +249,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     their own; an empty table gives an empty result.
     """
     arrow_rows(docs.sparkSession)
-    rows = _named(docs)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), uid_of(docs)[0].alias("uid"))
     ranges = repeated_ranges(rows, width, gram).groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     ranges = written(ranges, "ranges")
-    untouched = _only(rows, ranges.select("uid"), "left_anti")
+    untouched = only(rows, ranges.select("uid"), "left_anti")
     size = F.octet_length("text").cast("long")
     plain = untouched.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"))
-    touched = _only(rows, ranges.select("uid")).join(ranges, "uid").select("doc_id", "text", "ranges")
+    touched = only(rows, ranges.select("uid")).join(ranges, "uid").select("doc_id", "text", "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
