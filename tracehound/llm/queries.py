@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, jaccard, quality, repeats, secrets, token_count, token_store
+from . import byte_bpe, chat, decontaminate, jaccard, quality, repeats, secrets, token_count, token_store
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_token_store, op4_jaccard_join, op6_secret_scan, op7_token_counts, op8_chat_format, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_token_store, op4_jaccard_join, op5_decontaminate, op6_secret_scan, op7_token_counts, op8_chat_format, op9_byte_bpe, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
