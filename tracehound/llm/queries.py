@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontaminate, jaccard, quality, repeats, secrets, token_count, token_store
+from . import byte_bpe, chat, decontaminate, jaccard, quality, repeats, secrets, token_count, token_store, wrappers
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_store.read_tokens(token_store.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -47,5 +51,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_token_store, op4_jaccard_join, op5_decontaminate, op6_secret_scan, op7_token_counts, op8_chat_format, op9_byte_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_token_store, op4_jaccard_join, op5_decontaminate, op6_secret_scan, op7_token_counts, op8_chat_format, op9_byte_bpe, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
