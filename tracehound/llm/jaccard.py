@@ -7,7 +7,7 @@ picks the l that it expects to cost least: a longer prefix meets more postings,
 then share l of them.
 
 The result is components of links, so equal sets are one vertex, and first each document is compared
-with the least document of the lists it is in; pairs are only formed across components that are
+with one document that leads the lists it is in, another one each round; pairs are only formed across components that are
 still apart, which keeps large groups of near copies from being multiplied out.
 """
 
@@ -32,7 +32,9 @@ MAX_MATCHES = 4
 #: Price of comparing two sets, in postings read, for each shingle of the set.
 VERIFY_COST = 0.25
 #: Rounds of comparing with one leader before pairs are formed.
-ROUNDS = 2
+ROUNDS = 3
+#: A leader is worth comparing with when it shares more than one in so many of the places of a prefix.
+PROMISING = 4
 
 _MUL = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -110,8 +112,8 @@ def sketch(rows: DataFrame, size: int) -> np.ndarray:
     return out.ravel()
 
 
-def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
-    """The prefix of set s in the common order, the places that always belong to it, and the matches asked for."""
+def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The prefix of set s in the common order, and the matches asked for."""
     n = len(s)
     need = -(-percent * n // 100)
     likely = counts[_cell(s)]
@@ -121,22 +123,22 @@ def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarr
     reach = np.cumsum(np.maximum(likely[order[: free + most]] - 1, 0))
     cost = [reach[free + k - 1] * (1 + VERIFY_COST * n / k) for k in range(1, most + 1)]
     k = int(np.argmin(cost)) + 1
-    return s[order[: free + k]], free, k
+    return s[order[: free + k]], k
 
 
 def _prefixes(rows: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """uid, n, set hashes a and b, prefix, free, matches of every row."""
+    """uid, n, set hashes a and b, prefix, matches of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
         for b in batches:
             sets = shingle_sets(b.column(1), size)
-            got = [prefix_of(s, known, percent) if len(s) else (s, 0, 0) for s in sets]
+            got = [prefix_of(s, known, percent) if len(s) else (s, 0) for s in sets]
             whole = [np.array([f(s) for s in sets], np.uint64) for f in (lambda s: np.add.reduce(mixed(s)), lambda s: np.bitwise_xor.reduce(mixed(s * _MUL[1])))]
-            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(as_long, whole), pa.array([p.view(np.int64) for p, _, _ in got], pa.list_(pa.int64())), *(pa.array([g[k] for g in got], pa.int32()) for k in (1, 2))]
-            yield pa.RecordBatch.from_arrays(cols, ["uid", "n", "a", "b", "prefix", "free", "matches"])
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(as_long, whole), pa.array([p.view(np.int64) for p, _ in got], pa.list_(pa.int64())), pa.array([k for _, k in got], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["uid", "n", "a", "b", "prefix", "matches"])
 
-    return rows.select("uid", "text").mapInArrow(scan, "uid long, n long, a long, b long, prefix array<long>, free int, matches int")
+    return rows.select("uid", "text").mapInArrow(scan, "uid long, n long, a long, b long, prefix array<long>, matches int")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -171,6 +173,12 @@ def _fits(percent: int, a: str, b: str):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def _early(x: str, y: str, percent: int, matches):
+    """Whether x's token is among those in which a similar pair of these sizes shares its first matches."""
+    need = F.floor((percent * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 99 + percent) / (100 + percent))
+    return F.col(f"{x}.place") < F.col(f"{x}.n") - need + matches
+
+
 def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
     """uid, n, comp (least uid of the group) and links for rows (uid, text); plain: no two rows share a uid."""
     spark = rows.sparkSession
@@ -181,31 +189,33 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
     full = every.where("n > 0")
     classes = written(full.groupBy("a", "b", "n").agg(F.min("uid").alias("rep")), "classes")
     reps = once(full.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi"))
-    posted = reps.select("uid", "n", "free", "matches", F.posexplode("prefix").alias("place", "token"))
-    posted = posted.select("token", "uid", "n", "matches", F.greatest(F.col("place") + 1 - F.col("free"), F.lit(1)).alias("level"))
+    posted = reps.select("uid", "n", "matches", F.posexplode("prefix").alias("place", "token"))
+    posted = posted.select("token", "uid", "n", "matches", "place")
     shared = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     lists = written(posted.join(shared, "token", "left_semi"), "lists")
-    taking = written(lists.select("uid").distinct(), "taking")
-    sets = written(once(_sets(only(rows, taking), size)), "sets")
+    taking = lists.select("uid").distinct()
     labels = written(taking.select("uid", F.col("uid").alias("comp")), "labels")
     links = None
     for k in range(ROUNDS + 1):
         known = lists.join(labels, "uid")
+        rank = F.col("uid") if k == 0 else F.xxhash64("uid", F.lit(k))  # another leader each time
         # A list whose documents are in one component has nothing to add.
-        apart = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("uid", "n", "matches", "level", "comp")).alias("one"), F.max(F.struct("uid", "n", "matches", "level", "comp")).alias("two")).where("lo != hi")
+        apart = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(rank.alias("rank"), "uid", "n", "comp")).alias("lead")).where("lo != hi")
         if k < ROUNDS:
-            lead = apart.select("token", F.col("one" if k == 0 else "two").alias("lead"))
-            met = known.join(lead, "token").where((F.col("comp") != F.col("lead.comp")) & _fits(percent, "n", "lead.n"))
-            met = met.groupBy("uid", F.col("lead.uid").alias("v")).agg(F.count("*").alias("c"))
+            met = known.join(apart.select("token", "lead"), "token").where((F.col("comp") != F.col("lead.comp")) & _fits(percent, "n", "lead.n"))
+            met = met.groupBy("uid", F.col("lead.uid").alias("v"), "n").agg(F.count("*").alias("c"))
+            met = met.where(F.col("c") * 100 * PROMISING > F.col("n") * (100 - percent))
             pairs = met.groupBy(F.col("uid").alias("u")).agg(F.max(F.struct("c", "v")).alias("best")).select("u", "best.v")
         else:
             open_ = written(known.join(apart.select("token"), "token", "left_semi"), "open")
             x, y = open_.alias("x"), open_.alias("y")
             least = F.least("x.matches", "y.matches")
-            met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent, "x.n", "y.n") & (F.col("x.level") <= least) & (F.col("y.level") <= least))
+            met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent, "x.n", "y.n") & _early("x", "y", percent, least) & _early("y", "x", percent, least))
             met = met.groupBy(F.col("x.uid").alias("u"), F.col("y.uid").alias("v"), least.alias("l")).agg(F.count("*").alias("c"))
             pairs = met.where("c >= l").select("u", "v")
-        found = _links(pairs, sets, percent)
+        pairs = written(pairs, "pairs")
+        sets = once(_sets(only(rows, written(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "asked")), size))
+        found = _links(pairs, written(sets, "sets"), percent)
         links = found if links is None else links.unionByName(found)
         labels = components(labels, found)
     degree = links.select(F.col("u").alias("rep")).unionAll(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("d"))

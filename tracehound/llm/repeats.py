@@ -214,7 +214,8 @@ def repeated_ranges(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, step:
     cover = lambda first, n: [F.col("uid"), first.alias("first"), (first + n + width - 1).alias("last")]
     runs = _first_pass(rows, width, gram)
     digits = runs.groupBy("digit").agg(F.count("*").alias("c"), F.min("place").alias("lo"), F.max("place").alias("hi")).where("c > 1")
-    shared = written(runs.join(digits.select("digit", (F.col("lo") != F.col("hi")).alias("doubt")), "digit"), "runs")
+    digits = written(digits.select("digit", (F.col("lo") != F.col("hi")).alias("doubt")), "digits")  # a table of its own lets Spark split hot digits in the join
+    shared = written(runs.join(digits, "digit"), "runs")
     first, n = F.shiftright("run", 20), F.shiftright("run", 10).bitwiseAND(1023)
     sure = shared.where("not doubt").select(*cover(first, n))
     doubt = shared.where("doubt")
@@ -224,7 +225,9 @@ def repeated_ranges(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, step:
     parts = written(_sections(rows, written(wanted, "wanted"), width, step), "sections")
     whole = parts.groupBy("digit", "slot", "whole").agg(F.sum("weight").alias("whole_n"))
     core = parts.groupBy("digit", "slot", "core").agg(F.sum("weight").alias("core_n"))
-    open_ = parts.join(core.where("core_n > 1"), ["digit", "slot", "core"], "left_semi").join(whole.where("whole_n > 1").select("digit", "slot", "whole", F.lit(True).alias("again")), ["digit", "slot", "whole"], "left")
+    core = written(core.where("core_n > 1").select("digit", "slot", "core"), "cores")
+    whole = written(whole.where("whole_n > 1").select("digit", "slot", "whole", F.lit(True).alias("again")), "wholes")
+    open_ = parts.join(core, ["digit", "slot", "core"], "left_semi").join(whole, ["digit", "slot", "whole"], "left")
     open_ = written(open_, "open")
     part_first, part_n = F.shiftright("part", 20), F.col("part").bitwiseAND((1 << 20) - 1)
     repeated = open_.where("again and weight = 1").select(*cover(part_first, part_n))
@@ -236,7 +239,8 @@ def repeated_ranges(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, step:
     last = last.select("one.uid", F.struct("one.part", "digit", "slot", F.least("weight", F.lit(2)).alias("weight")).alias("w")).groupBy("uid").agg(F.collect_list("w").alias("want"))
     keys = written(_suffixes(rows, written(last, "wanted"), width), "suffixes")
     often = keys.groupBy("digit", "slot", "key").agg(F.sum("weight").alias("t")).where("t > 1")
-    single = keys.where("weight = 1").join(often.select("digit", "slot", "key"), ["digit", "slot", "key"], "left_semi")
+    often = written(often.select("digit", "slot", "key"), "often")
+    single = keys.where("weight = 1").join(often, ["digit", "slot", "key"], "left_semi")
     single = single.select("uid", F.col("at").alias("first"), (F.col("at") + width).alias("last"))
     return sure.unionByName(twice).unionByName(repeated).unionByName(single)
 
