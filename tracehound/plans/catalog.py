@@ -230,13 +230,17 @@ def recover_sha256(spark, sf_dir):
     return d.select("source_path", F.sha2(F.substring("content", 17, 128), 256).alias("sha256"))
 
 
-@_query("SELECT 'pages/' || page_id AS source_path, (16 * i)::BIGINT AS \"offset\", lpad(to_hex(16 * i), 8, '0') AS address, lower(substr(h, 32 * i + 1, 32)) AS bytes FROM (SELECT page_id, h, unnest(range((length(h) // 2 + 15) // 16)) AS i FROM (SELECT page_id, hex(encode(html)) AS h FROM pages))")
+@_query(
+    """WITH p AS (SELECT 'pages/' || page_id AS source_path, regexp_extract_all(lower(hex(encode(html))), '.{1,32}') AS l FROM pages),
+    q AS (SELECT source_path, unnest(l) AS bytes, unnest(range(len(l))) AS i FROM p)
+    SELECT source_path, (16 * i)::BIGINT AS "offset", lower(lpad(to_hex(16 * i), 8, '0')) AS address, bytes FROM q"""
+)
 def hexdump_pages(spark, sf_dir):
     p = _pages(spark, sf_dir).where(F.octet_length("content") > 0)
-    rows = p.select("source_path", "content", F.explode(F.sequence(F.lit(0).cast("long"), ((F.octet_length("content") - 1) / 16).cast("long"))).alias("i"))
-    rows = rows.select("source_path", (16 * F.col("i")).alias("offset"), F.substring(F.col("content"), (16 * F.col("i") + 1).cast("int"), F.lit(16)).alias("b"))
-    line = binary.hex_line(F.col("b"), F.col("offset"))
-    return rows.select("source_path", "offset", F.substring(line, 1, 8).alias("address"), F.lower(F.regexp_replace(F.substring(line, 11, 47), " ", "")).alias("bytes"))
+    starts = F.sequence(F.lit(0).cast("long"), (F.octet_length("content") - 1).cast("long"), F.lit(16).cast("long"))
+    lines = F.transform(starts, lambda i: F.struct(i.alias("offset"), F.substring(F.col("content"), (i + 1).cast("int"), F.lit(16)).alias("b")))
+    rows = p.select("source_path", F.explode(lines).alias("x")).select("source_path", "x.offset", binary.hex_line(F.col("x.b"), F.col("x.offset")).alias("line"))
+    return rows.select("source_path", "offset", F.substring("line", 1, 8).alias("address"), F.replace(F.substring("line", 11, 47), F.lit(" ")).alias("bytes"))
 
 
 @_query("SELECT page_id, string_split(url, '.')[-1] AS extension FROM pages")
