@@ -9,6 +9,7 @@ an end) are encoded whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,36 +29,53 @@ class PieceTable:
 
     def clear(self) -> None:
         self.slot: dict[str, int] = {}
-        self.off, self.len, self.whole = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
+        self.off, self.len, self.whole, self.hits = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool), np.zeros(1024, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _room(self, entries: int, ids: int) -> None:
         if entries > len(self.off):
             n = max(entries, 2 * len(self.off))
-            self.off, self.len, self.whole = (np.concatenate([a, np.zeros(n - len(a), a.dtype)]) for a in (self.off, self.len, self.whole))
+            self.off, self.len, self.whole, self.hits = (np.concatenate([a, np.zeros(n - len(a), a.dtype)]) for a in (self.off, self.len, self.whole, self.hits))
         if ids > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(ids, 2 * len(self.flat)) - len(self.flat), np.uint32)])
 
-    def add(self, strings: list[str], slow: list[bool] | None = None) -> np.ndarray:
+    def shrink(self) -> None:
+        """Keeps what came up again since the last time; nothing if that is more than half."""
+        keep = np.flatnonzero(self.hits[: len(self.slot)] > 2)
+        if len(keep) > self.limit // 2:
+            return self.clear()
+        names, flat, size, whole = list(self.slot), take_runs(self.flat, self.off, self.len, keep), self.len[keep], self.whole[keep]
+        self.clear()
+        self._room(len(keep), len(flat))
+        self.slot = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.off[: len(keep)], self.len[: len(keep)], self.whole[: len(keep)] = np.cumsum(size) - size, size, whole
+        self.flat[: len(flat)], self.used = flat, len(flat)
+
+    def add(self, strings: list[str]) -> np.ndarray:
         """Slots of the strings; what is new gets encoded."""
         slot = self.slot
         new = [s for s in dict.fromkeys(strings) if s not in slot]
         if new:
-            mark = [self.joined and (s == "" or s[0].isspace() and s[:1] != " " or s[1:2].isspace() or s == " " or s[-1].isspace()) for s in new]
-            coded = iter(self.encode([s for s, bad in zip(new, mark) if not bad]))
-            got = [() if bad else next(coded) for bad in mark]
-            self._room(len(slot) + len(new), self.used + sum(map(len, got)))
-            for s, ids, bad in zip(new, got, mark):
-                k = slot[s] = len(slot)
-                self.off[k], self.len[k], self.whole[k] = self.used, len(ids), bad
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+            mark = np.zeros(len(new), bool)
+            if self.joined:
+                inner = [s[1:] if s[:1] == " " else s for s in new]
+                mark = np.fromiter((not c or len(c.strip()) != len(c) for c in inner), bool, len(new))
+            got = self.encode([s for s, bad in zip(new, mark) if not bad])
+            size = np.zeros(len(new), np.int64)
+            size[~mark] = np.fromiter(map(len, got), np.int64, len(got))
+            base, total = len(slot), int(size.sum())
+            self._room(base + len(new), self.used + total)
+            own = slice(base, base + len(new))
+            self.off[own], self.len[own], self.whole[own] = self.used + np.cumsum(size) - size, size, mark
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+            slot.update(zip(new, range(base, base + len(new))))
+            self.used += total
         return np.fromiter((slot[s] for s in strings), np.int64, len(strings))
 
     def lay(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """Slots of all pieces, each text's first piece and count, and the ids of texts encoded whole."""
         if len(self.slot) > self.limit:
-            self.clear()
+            self.shrink()
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts, "")
@@ -76,6 +94,7 @@ class PieceTable:
                 slots[starts] = self.add(firsts)
         else:
             slots = self.add(words)[codes]
+        self.hits += np.bincount(slots, minlength=len(self.hits))
         whole: dict[int, np.ndarray] = {}
         bad = self.whole[slots]
         if bad.any():
