@@ -33,6 +33,8 @@ MAX_MATCHES = 4
 VERIFY_COST = 0.25
 #: Rounds of comparing with one leader before pairs are formed.
 ROUNDS = 3
+#: Pairs are formed at once where lists hold at most so many across components for each posting.
+DIRECT = 1
 #: A leader is worth comparing with when it shares more than one in so many of the places of a prefix.
 PROMISING = 4
 
@@ -200,8 +202,14 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
         known = lists.join(labels, "uid")
         rank = F.col("uid") if k == 0 else F.xxhash64("uid", F.lit(k))  # another leader each time
         # A list whose documents are in one component has nothing to add.
-        apart = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(rank.alias("rank"), "uid", "n", "comp")).alias("lead")).where("lo != hi")
-        if k < ROUNDS:
+        parted = known.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(F.struct(rank.alias("rank"), "uid", "n", "comp")).alias("lead"))
+        apart = parted.groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum(F.col("c").cast("double") * F.col("c")).alias("same"), F.min("lead").alias("lead")).where("comps > 1")
+        apart = written(apart, "apart")
+        load = apart.agg(F.sum("c").alias("postings"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("same")) / 2).alias("across")).first()
+        if not load["postings"]:
+            break
+        last = k == ROUNDS or load["across"] <= DIRECT * load["postings"]
+        if not last:
             met = known.join(apart.select("token", "lead"), "token").where((F.col("comp") != F.col("lead.comp")) & _fits(percent, "n", "lead.n"))
             met = met.groupBy("uid", F.col("lead.uid").alias("v"), "n").agg(F.count("*").alias("c"))
             met = met.where(F.col("c") * 100 * PROMISING > F.col("n") * (100 - percent))
@@ -218,6 +226,10 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
         found = _links(pairs, written(sets, "sets"), percent)
         links = found if links is None else links.unionByName(found)
         labels = components(labels, found)
+        if last:
+            break
+    if links is None:
+        links = spark.createDataFrame([], "u long, v long")
     degree = links.select(F.col("u").alias("rep")).unionAll(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("d"))
     tops = classes.join(labels.select(F.col("uid").alias("rep"), "comp"), "rep", "left").join(degree, "rep", "left").select("a", "b", "n", "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("d", F.lit(0)).alias("d"))
     placed = every.select("uid", "n", "a", "b").distinct().join(tops, ["a", "b", "n"], "left")
