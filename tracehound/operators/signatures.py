@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracehound.operators.scoring import blended
+
 SCHEMA = "id string, name string, extension string, magic string, offset long, category string, description string, default_size long"
 
 # Fixed values, from the formats' public documentation.
@@ -65,33 +67,73 @@ def summary(signatures: DataFrame) -> DataFrame:
     return signatures.agg(F.count("*").alias("signatures"), F.max(F.size(F.split("magic", r"\s+"))).cast("long").alias("max_length"))
 
 
-def positions(evidence: DataFrame, signatures: DataFrame, carry: str = "source_path") -> DataFrame:
-    """Matches: carry, hit (where the magic lies), offset (where the file begins), signature_id.
+class Compiled(NamedTuple):
+    """core: the longest run without wildcards, which begins at start."""
 
-    Signatures are a small dimension table that is compiled on the driver; one whose first byte is a
-    wildcard never matches, nor does one whose file would begin before the source.
-    """
+    id: str
+    offset: int
+    magic: bytes
+    mask: list[bool]
+    start: int
+    core: bytes
+
+
+def compiled(signatures: DataFrame) -> list[Compiled]:
+    """Signatures are a small dimension table, compiled on the driver; one that begins with a wildcard never matches."""
     table = []
     for s in signatures.select("id", "magic", F.coalesce("offset", F.lit(0)).alias("offset")).collect():
         data, mask = parse_magic(s["magic"])
         if mask[0]:
             fixed = [m.span() for m in re.finditer("1+", "".join("01"[k] for k in mask))]
             a, e = max(fixed, key=lambda x: x[1] - x[0])
-            table.append((s["id"], s["offset"], data, np.array(mask), a, data[a:e], all(mask)))
+            table.append(Compiled(s["id"], s["offset"], data, mask, a, data[a:e]))
+    return table
+
+
+def matches(s: Compiled, data: bytes) -> Iterator[int]:
+    """Where the signature's magic lies in data."""
+    at = data.find(s.core)
+    while at >= 0:
+        hit = at - s.start
+        if hit >= 0 and hit + len(s.magic) <= len(data) and all(data[hit + k] == x for k, x in enumerate(s.magic) if s.mask[k]):
+            yield hit
+        at = data.find(s.core, at + 1)
+
+
+def carve_chunks(parts: DataFrame, signatures: DataFrame, chunk: int, broad: bool = False) -> DataFrame:
+    """Scored matches of (source_path, chunk_start, content): source_path, offset, signature_id, validation_score, confidence.
+
+    content reaches beyond the chunk by the longest magic and what scores look at. A match belongs to
+    the chunk in which it begins, so none comes twice.
+    """
+    table = compiled(signatures)
+    kinds = {"source_path": pa.string(), "offset": pa.int64(), "signature_id": pa.string(), "validation_score": pa.float64(), "confidence": pa.float64()}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, start, data in zip(*(c.to_pylist() for c in b.columns)):
+                for s in table:
+                    rows += [(path, start + hit - s.offset, s.id, *blended(s.id, data, hit, broad)) for hit in matches(s, data or b"") if hit < chunk and start + hit >= s.offset]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], list(kinds))
+
+    return parts.select("source_path", "chunk_start", "content").mapInArrow(scan, "source_path string, offset long, signature_id string, validation_score double, confidence double")
+
+
+def positions(evidence: DataFrame, signatures: DataFrame, carry: str = "source_path") -> DataFrame:
+    """Matches: carry, hit (where the magic lies), offset (where the file begins), signature_id.
+
+    Signatures are a small dimension table that is compiled on the driver; one whose first byte is a
+    wildcard never matches, nor does one whose file would begin before the source.
+    """
+    table = compiled(signatures)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 data = data or b""
-                view = np.frombuffer(data, np.uint8)
-                for sid, offset, magic, mask, a, core, plain in table:
-                    at = data.find(core)
-                    while at >= 0:
-                        hit = at - a
-                        if hit >= 0 and hit + len(magic) <= len(data) and hit >= offset and (plain or (view[hit : hit + len(magic)][mask] == np.frombuffer(magic, np.uint8)[mask]).all()):
-                            rows.append((path, hit, hit - offset, sid))
-                        at = data.find(core, at + 1)
+                rows += [(path, hit, hit - s.offset, s.id) for s in table for hit in matches(s, data) if hit >= s.offset]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()))], [carry, "hit", "offset", "signature_id"])
 

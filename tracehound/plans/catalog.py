@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehound.functions import binary
-from tracehound.operators import containers, markers, profiles, raid, reports, signatures
+from tracehound.operators import containers, healer, markers, profiles, raid, recovery, reports, signatures
 from tracehound.sources import evidence
 
 QUERIES: dict = {}
@@ -251,3 +251,28 @@ def entry_extension(spark, sf_dir):
 @_query("SELECT 'a.zip' AS source_path, 'inside.txt' AS name, 5::BIGINT AS size UNION ALL SELECT 'b.vmdk', 'disk-flat.vmdk', 1048576 UNION ALL SELECT 'c.qcow2', 'c.qcow2', 33554432")
 def container_entries(spark, sf_dir):
     return containers.mount(containers.samples(spark)).select("source_path", "name", "size")
+
+
+@_query("SELECT 'x' || i AS source_path, ['ntfs', 'hfs_plus', 'tail'][i] AS found, [5000, 976, 64][i]::BIGINT AS \"offset\", [8, 1028, 0][i]::BIGINT AS size FROM range(1, 4) t(i)")
+def healed_samples(spark, sf_dir):
+    data = [bytes(5000) + b"\xebR\x90NTFS ", bytes(2000) + b"H+\x00\x04", bytes(64)]
+    return healer.heal(spark.createDataFrame([(f"x{k}", bytearray(d)) for k, d in enumerate(data, 1)], "source_path string, content binary"))
+
+
+@_query("SELECT 'mdadm' AS controller, 'raid5' AS mode, 'left_asymmetric' AS layout, 65536::BIGINT AS stripe_size, 3::BIGINT AS expected_members, 2::BIGINT AS detected_members, 'Missing member slot #1' AS missing, true AS degraded")
+def array_report(spark, sf_dir):
+    def member(k: int) -> bytearray:
+        block = bytearray(512)
+        block[:4] = b"\xfc\x4e\x2b\xa9"
+        for at, x in ((0x48, 5), (0x58, 64), (0x5C, 3), (0x90, k)):
+            block[at : at + 4] = x.to_bytes(4, "little")
+        return bytearray(4096) + block
+
+    probes = raid.probe(spark.createDataFrame([(f"m{k}", member(k)) for k in (0, 2)], "source_path string, content binary"))
+    return raid.detect(probes).select("controller", "mode", "layout", "stripe_size", "expected_members", "detected_members", F.array_join("missing", ", ").alias("missing"), "degraded")
+
+
+@_query("SELECT doc_id, regexp_replace(source, '[^A-Za-z0-9_-]', '_', 'g') || '.html' AS file_name FROM documents")
+def recovery_names(spark, sf_dir):
+    """File names of recovered items: the source's name made safe, its extension put on."""
+    return _table(spark, sf_dir, "documents").select("doc_id", recovery.file_name(F.col("source"), F.lit("HTML")).alias("file_name"))
