@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tracehound.llm import jaccard
@@ -77,6 +78,26 @@ def test_repeated_ids(spark):
     assert got == sorted(brute(rows, 3, 90), key=key)
 
 
+def test_folded_parities():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (0, 1, 5, 90, 3000)]
+    sets += [np.unique(np.concatenate([s[::2], rng.integers(0, 2**64, 4, np.uint64)])) for s in sets]
+    bits = jaccard.folded(sets)
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            differ = sum(int(x).bit_count() for x in (bits[i] ^ bits[j]).view(np.uint64))
+            assert differ <= len(np.setxor1d(s, t))
+    assert jaccard.folded([]).shape == (0, 2)
+
+
+@pytest.mark.parametrize("few", [1, 2, 10**6])
+def test_short_and_long_lists(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rows = [(i, t) for i, t in enumerate(corpus(11))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == brute(rows, 3, 90)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similar_groups(docs).count() == 0 and jaccard.keep_one(docs).count() == 0

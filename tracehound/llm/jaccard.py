@@ -6,9 +6,11 @@ shingles within the first |x| - need(x) + l and |y| - need(y) + l places, for ev
 picks the l that it expects to cost least: a longer prefix meets more postings, but a candidate must
 then share l of them.
 
-The result is components of links, so equal sets are one vertex, and first each document is compared
-with one document that leads the lists it is in, another one each round; pairs are only formed across components that are
-still apart, which keeps large groups of near copies from being multiplied out.
+Lists of few documents give their pairs at once; a pair goes on to the comparison only if the parities
+of its sets, folded to 128 bits, differ in no more places than the sets of a similar pair can.
+For the longer lists the result is components of links, so equal sets are one vertex, and first each document is
+compared with one document that leads the lists it is in, another one each round; pairs are only formed across
+components that are still apart, which keeps large groups of near copies from being multiplied out.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ MAX_MATCHES = 4
 VERIFY_COST = 0.25
 #: Rounds of comparing with one leader before pairs are formed.
 ROUNDS = 3
+#: Documents in a list that gives its pairs at once.
+FEW = 8
 #: Pairs are formed at once where lists hold at most so many across components for each posting.
 DIRECT = 1
 #: A leader is worth comparing with when it shares more than one in so many of the places of a prefix.
@@ -128,8 +132,16 @@ def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarr
     return s[order[: free + k]], k
 
 
+def folded(sets: list[np.ndarray]) -> np.ndarray:
+    """Two longs a set: the parities of its hashes by their first 7 bits. Sets with d hashes of their own differ in d of these bits at most."""
+    own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    cell = (np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(57)).astype(np.int64)
+    odd = (np.bincount(own * 128 + cell, minlength=128 * len(sets)) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(sets), 2)
+
+
 def _prefixes(rows: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """uid, n, set hashes a and b, prefix, matches of every row."""
+    """uid, n, set hashes a and b, prefix, matches, parities p and q of every row."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
@@ -137,10 +149,11 @@ def _prefixes(rows: DataFrame, size: int, percent: int, counts) -> DataFrame:
             sets = shingle_sets(b.column(1), size)
             got = [prefix_of(s, known, percent) if len(s) else (s, 0) for s in sets]
             whole = [np.array([f(s) for s in sets], np.uint64) for f in (lambda s: np.add.reduce(mixed(s)), lambda s: np.bitwise_xor.reduce(mixed(s * _MUL[1])))]
-            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(as_long, whole), pa.array([p.view(np.int64) for p, _ in got], pa.list_(pa.int64())), pa.array([k for _, k in got], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["uid", "n", "a", "b", "prefix", "matches"])
+            bits = folded(sets)
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(as_long, whole), pa.array([p.view(np.int64) for p, _ in got], pa.list_(pa.int64())), pa.array([k for _, k in got], pa.int32()), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
+            yield pa.RecordBatch.from_arrays(cols, ["uid", "n", "a", "b", "prefix", "matches", "p", "q"])
 
-    return rows.select("uid", "text").mapInArrow(scan, "uid long, n long, a long, b long, prefix array<long>, matches int")
+    return rows.select("uid", "text").mapInArrow(scan, "uid long, n long, a long, b long, prefix array<long>, matches int, p long, q long")
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -175,10 +188,28 @@ def _fits(percent: int, a: str, b: str):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
-def _early(x: str, y: str, percent: int, matches):
+def _need(percent: int):
+    """Shingles that a similar pair of sets of x.n and y.n shares at least."""
+    return F.floor((percent * (F.col("x.n") + F.col("y.n")) + 99 + percent) / (100 + percent))
+
+
+def _early(x: str, percent: int, matches):
     """Whether x's token is among those in which a similar pair of these sizes shares its first matches."""
-    need = F.floor((percent * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 99 + percent) / (100 + percent))
-    return F.col(f"{x}.place") < F.col(f"{x}.n") - need + matches
+    return F.col(f"{x}.place") < F.col(f"{x}.n") - _need(percent) + matches
+
+
+def _near(percent: int):
+    """Whether the parities differ in no more bits than a similar pair of sets of these sizes has hashes of their own."""
+    differ = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    return differ("p") + differ("q") <= F.col("x.n") + F.col("y.n") - 2 * _need(percent)
+
+
+def _met(lists: DataFrame, percent: int) -> DataFrame:
+    """u, v, l, c: pairs of documents that meet in lists c times and could be similar; they must meet l times."""
+    x, y = lists.alias("x"), lists.alias("y")
+    least = F.least("x.matches", "y.matches")
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent, "x.n", "y.n") & _early("x", percent, least) & _early("y", percent, least) & _near(percent))
+    return met.groupBy(F.col("x.uid").alias("u"), F.col("y.uid").alias("v"), least.alias("l")).agg(F.count("*").alias("c"))
 
 
 def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
@@ -191,13 +222,19 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
     full = every.where("n > 0")
     classes = written(full.groupBy("a", "b", "n").agg(F.min("uid").alias("rep")), "classes")
     reps = once(full.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi"))
-    posted = reps.select("uid", "n", "matches", F.posexplode("prefix").alias("place", "token"))
-    posted = posted.select("token", "uid", "n", "matches", "place")
-    shared = posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    lists = written(posted.join(shared, "token", "left_semi"), "lists")
-    taking = lists.select("uid").distinct()
-    labels = written(taking.select("uid", F.col("uid").alias("comp")), "labels")
-    links = None
+    posted = reps.select("uid", F.posexplode("prefix").alias("place", "token"))
+    shared = posted.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    lists = written(posted.join(shared, "token").join(reps.select("uid", "n", "matches", "p", "q"), "uid"), "lists")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        asked = written(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "asked")
+        return _links(pairs, written(once(_sets(only(rows, asked), size)), "sets"), percent)
+
+    # A similar pair meets in a short list, or else as often as asked for in long ones.
+    links = compared(_met(lists.where(F.col("members") <= FEW).withColumn("comp", F.col("uid")), percent).select("u", "v").distinct())
+    lists = lists.where(F.col("members") > FEW)
+    labels = components(written(lists.select("uid").unionAll(links.select("u")).unionAll(links.select("v")).distinct().select("uid", F.col("uid").alias("comp")), "labels"), links)
     for k in range(ROUNDS + 1):
         known = lists.join(labels, "uid")
         rank = F.col("uid") if k == 0 else F.xxhash64("uid", F.lit(k))  # another leader each time
@@ -216,20 +253,12 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
             pairs = met.groupBy(F.col("uid").alias("u")).agg(F.max(F.struct("c", "v")).alias("best")).select("u", "best.v")
         else:
             open_ = written(known.join(apart.select("token"), "token", "left_semi"), "open")
-            x, y = open_.alias("x"), open_.alias("y")
-            least = F.least("x.matches", "y.matches")
-            met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent, "x.n", "y.n") & _early("x", "y", percent, least) & _early("y", "x", percent, least))
-            met = met.groupBy(F.col("x.uid").alias("u"), F.col("y.uid").alias("v"), least.alias("l")).agg(F.count("*").alias("c"))
-            pairs = met.where("c >= l").select("u", "v")
-        pairs = written(pairs, "pairs")
-        sets = once(_sets(only(rows, written(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "asked")), size))
-        found = _links(pairs, written(sets, "sets"), percent)
-        links = found if links is None else links.unionByName(found)
+            pairs = _met(open_, percent).where("c >= l").select("u", "v")
+        found = compared(pairs)
+        links = links.unionByName(found)
         labels = components(labels, found)
         if last:
             break
-    if links is None:
-        links = spark.createDataFrame([], "u long, v long")
     degree = links.select(F.col("u").alias("rep")).unionAll(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("d"))
     tops = classes.join(labels.select(F.col("uid").alias("rep"), "comp"), "rep", "left").join(degree, "rep", "left").select("a", "b", "n", "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("d", F.lit(0)).alias("d"))
     placed = every.select("uid", "n", "a", "b").distinct().join(tops, ["a", "b", "n"], "left")
