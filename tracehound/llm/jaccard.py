@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, uid_of, written
 from .graphs import components
-from .repeats import as_long, mixed, only
+from .repeats import BROADCAST_KEYS, as_long, mixed, only
 
 #: Counters of the sketch that gives the order; fixed, so its size doesn't grow with the data.
 CELLS, CHUNK = 1 << 19, 1 << 13
@@ -234,9 +234,11 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
     # A similar pair meets in a short list, or else as often as asked for in long ones.
     links = compared(_met(lists.where(F.col("members") <= FEW).withColumn("comp", F.col("uid")), percent).select("u", "v").distinct())
     lists = lists.where(F.col("members") > FEW)
-    labels = components(written(lists.select("uid").unionAll(links.select("u")).unionAll(links.select("v")).distinct().select("uid", F.col("uid").alias("comp")), "labels"), links)
+    labels = components(spark.createDataFrame([], "uid long, comp long"), links)
     for k in range(ROUNDS + 1):
-        known = lists.join(labels, "uid")
+        moved = labels.where("uid != comp")
+        moved = F.broadcast(moved) if moved.count() <= BROADCAST_KEYS else moved
+        known = lists.join(moved, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
         rank = F.col("uid") if k == 0 else F.xxhash64("uid", F.lit(k))  # another leader each time
         # A list whose documents are in one component has nothing to add.
         parted = known.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(F.struct(rank.alias("rank"), "uid", "n", "comp")).alias("lead"))
