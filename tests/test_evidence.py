@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracehound.functions import binary
-from tracehound.operators import containers, markers, profiles, raid, reports, signatures
+from tracehound.operators import containers, markers, profiles, raid, reports, scoring, signatures
 from tracehound.plans import catalog
 
 
@@ -102,3 +102,11 @@ def test_parity_slots(spark):
 
 def test_catalog_is_whole():
     assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL) and len(catalog.QUERIES) >= 25
+
+
+def test_classifier_score_of_256_bytes(spark, tmp_path):
+    texts = ["a" * 64 + "".join(map(chr, range(33, 127))) * 3, "é" * 127 + "xyz tail", "", None, "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.source_path: r.score for r in catalog.QUERIES["classifier_score"](spark, str(tmp_path)).collect()}
+    assert got == {f"documents/{i}": round(scoring.learned("pdf", (t or "").encode(), 0), 5) for i, t in enumerate(texts)}
+    assert got["documents/2"] == got["documents/3"] == 0 and scoring.learned("pdf", texts[0].encode(), 0) != scoring.learned("pdf", texts[0].encode()[:64], 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehound.functions import binary
-from tracehound.operators import containers, healer, markers, profiles, raid, recovery, reports, signatures
+from tracehound.operators import containers, healer, markers, profiles, raid, recovery, reports, scoring, signatures
 from tracehound.sources import evidence
 
 QUERIES: dict = {}
@@ -96,6 +96,17 @@ def classifier_score_documents(spark, sf_dir):
     return both.select("source_path", F.round(profiles.classifier_score(F.col("entropy"), F.col("a"), F.lit(0.15)), 5).alias("score"))
 
 
+@_query(
+    """WITH x AS (SELECT 'documents/' || doc_id AS source_path, substr(hex(encode(coalesce(text, ''))), 1, 512) AS h FROM documents),
+    y AS (SELECT source_path, len(h) / 2 AS n, unnest(regexp_extract_all(h, '..')) AS v FROM x),
+    c AS (SELECT source_path, n, v, count(*) AS k FROM y GROUP BY ALL), e AS (SELECT source_path, -sum((k / n) * log2(k / n)) AS h, sum(CASE WHEN v BETWEEN '20' AND '7E' OR v IN ('0A', '0D') THEN k ELSE 0 END / n) AS a FROM c GROUP BY 1)
+    SELECT x.source_path, coalesce(round(least(greatest(0.55 * least(greatest(e.h / 8, 0), 1) + 0.35 * least(greatest(0.6 * a + 0.4 * (1 - abs(a - 0.45)), 0), 1) + 0.15, 0), 1), 5), 0) AS score FROM x LEFT JOIN e USING (source_path)"""
+)
+def classifier_score(spark, sf_dir):
+    """The reference's score: first 256 bytes, 0 for empty documents. classifier_score_documents, whose SQL is given, sees 64 characters."""
+    return scoring.samples(_documents(spark, sf_dir), 0.15).select("source_path", F.round("score", 5).alias("score"))
+
+
 @_query("SELECT doc_id, s::BIGINT AS chunk_start, least(s + 1024 + 64, n_chars)::BIGINT AS chunk_end FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars, 1024)) AS s FROM documents)")
 def chunk_ranges(spark, sf_dir):
     return evidence.chunk_ranges(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", 1024, 64).select("doc_id", "chunk_start", "chunk_end")
