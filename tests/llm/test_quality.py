@@ -61,6 +61,15 @@ def test_copies_count_once(spark):
     assert all(r.kept for r in quality.judge(docs).collect())
 
 
+def test_line_limit_is_the_same_in_large_hosts(spark):
+    line = "notice for all of our many readers of this site"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    data = [(i, f"{line}\n{body(i)}" if i < 45 else f"rare line\n{body(i)}" if i < 80 else body(i), "h") for i in range(2000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in quality.clean(docs).collect()}
+    assert len(clean) == 2000 and all(clean[i] == (body(i) if i < 45 else data[i][1]) for i in clean)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, n_chars long")
     assert quality.judge(docs).count() == 0 and quality.clean(docs).columns == docs.columns

@@ -24,9 +24,10 @@ class Rules:
     min_words: int = 10
     #: Per cent of words that may lie in repeated five-word windows.
     max_repeat: int = 20
-    #: A line is boilerplate of its host when more documents than both limits hold it.
+    #: A line is boilerplate of its host when more documents than both limits hold it, or more than line_most however many the host has.
     line_docs: int = 20
     line_share: float = 0.1
+    line_most: int = 40
     #: What has to be left once boilerplate lines are gone, in words and as per cent of all words.
     min_left: int = 10
     min_left_share: int = 20
@@ -96,7 +97,7 @@ def line_hits(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     one = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     hosts = one.select("source", row_key().alias("k")).distinct().groupBy("source").agg(F.count("*").alias("docs"))
-    many = lambda n: F.col(n) > F.greatest(F.lit(rules.line_docs), rules.line_share * F.col("docs"))
+    many = lambda n: F.col(n) > F.least(F.greatest(F.lit(rules.line_docs), rules.line_share * F.col("docs")), F.lit(max(rules.line_docs, rules.line_most)))
     rows = _line_rows(one, False).groupBy("host", "line_hash").agg(F.count("*").alias("n")).where(F.col("n") > rules.line_docs)
     lines = written(rows.join(hosts, rows.host == hosts.source).where(many("n")).select("host", "line_hash", "docs"), "lines")
     small = lines.count() <= rules.broadcast_lines
