@@ -98,6 +98,18 @@ def test_short_and_long_lists(spark, monkeypatch, few):
     assert got == brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_links_against_all_pairs(spark, monkeypatch, repeated):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    base = [f"b{k}" for k in range(200)]
+    texts = [None, "", "one two", "One two", "alone " * 3] + [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(0, 200, 7)] + [" ".join(base)] * 5
+    rows = list(enumerate(texts)) + [(0, texts[-1])] * 2 * repeated
+    sets = {r: shingles(r[1], 3) for r in rows}
+    want = {r: sum(q != r and bool(s & t) and 100 * len(s & t) >= 90 * len(s | t) for q, t in sets.items()) for r, s in sets.items()}
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == sorted((r[0], want[r]) for r in rows) and max(want.values()) >= 30
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similar_groups(docs).count() == 0 and jaccard.keep_one(docs).count() == 0

@@ -11,6 +11,7 @@ of its sets, folded to 128 bits, differ in no more places than the sets of a sim
 For the longer lists the result is components of links, so equal sets are one vertex, and first each document is
 compared with one document that leads the lists it is in, another one each round; pairs are only formed across
 components that are still apart, which keeps large groups of near copies from being multiplied out.
+Links are counted once the components are known: each is dealt into blocks of sets, and every two blocks are compared.
 """
 
 from __future__ import annotations
@@ -42,6 +43,9 @@ DIRECT = 1
 #: A leader is worth comparing with when it shares more than one in so many of the places of a prefix.
 PROMISING = 4
 
+#: Sets of a component that are compared with as many others in one place.
+BLOCK = 128
+
 _MUL = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -212,15 +216,49 @@ def _met(lists: DataFrame, percent: int) -> DataFrame:
     return met.groupBy(F.col("x.uid").alias("u"), F.col("y.uid").alias("v"), least.alias("l")).agg(F.count("*").alias("c"))
 
 
-def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
-    """uid, n, comp (least uid of the group) and links for rows (uid, text); plain: no two rows share a uid."""
+def _degrees(sets: DataFrame, percent: int) -> DataFrame:
+    """rep, d: documents with similar sets, for distinct sets (uid, comp, copies, items); 0 is left out.
+
+    Only sets of one component can be similar. No task holds more than two blocks, and no pairs are written.
+    """
+
+    def cell(key, t):
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+        block, copies = np.asarray(t.column("block")), np.asarray(t.column("copies"))
+        one = key[1].as_py() == key[2].as_py()
+        left = np.arange(len(sets)) if one else np.flatnonzero(block == key[1].as_py())
+        right = left if one else np.flatnonzero(block == key[2].as_py())
+        total = np.zeros(len(sets), np.int64)
+        if len(left) and len(right):
+            items = np.concatenate([sets[k] for k in right])
+            n = np.array([len(sets[k]) for k in right])
+            starts = np.cumsum(n) - n
+            for k in left:
+                s = sets[k]
+                both = np.add.reduceat(s[np.minimum(np.searchsorted(s, items), len(s) - 1)] == items, starts, dtype=np.int64)
+                near = (both > 0) & (100 * both >= percent * (len(s) + n - both)) & (right != k)
+                total[k] += copies[right][near].sum()
+                if not one:
+                    total[right[near]] += copies[k]
+        return pa.table({"uid": t.column("uid"), "d": pa.array(total)})
+
+    many = sets.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = sets.join(many, "comp").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "block", "copies", "items")
+    found = cells.groupBy("comp", "i", "j").applyInArrow(cell, "uid long, d long")
+    return written(found.where("d > 0").groupBy(F.col("uid").alias("rep")).agg(F.sum("d").alias("d")), "degrees")
+
+
+def grouped(rows: DataFrame, plain: bool, size: int, percent: int, counted: bool = False) -> DataFrame:
+    """uid, n, comp (least uid of the group) and if counted links for rows (uid, text); plain: no two rows share a uid."""
     spark = rows.sparkSession
     arrow_rows(spark)
     once = (lambda df: df) if plain else (lambda df: df.dropDuplicates(["uid"]))
     counts = spark.sparkContext.broadcast(sketch(rows, size))
     every = written(_prefixes(rows, size, percent, counts), "prefixes")
     full = every.where("n > 0")
-    classes = written(full.groupBy("a", "b", "n").agg(F.min("uid").alias("rep")), "classes")
+    classes = written(full.groupBy("a", "b", "n").agg(F.min("uid").alias("rep"), (F.count("*") if plain else F.count_distinct("uid")).alias("copies")), "classes")
     reps = once(full.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi"))
     posted = reps.select("uid", F.posexplode("prefix").alias("place", "token"))
     shared = posted.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
@@ -257,28 +295,31 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int) -> DataFrame:
             open_ = written(known.join(apart.select("token"), "token", "left_semi"), "open")
             pairs = _met(open_, percent).where("c >= l").select("u", "v")
         found = compared(pairs)
-        links = links.unionByName(found)
         labels = components(labels, found)
         if last:
             break
-    degree = links.select(F.col("u").alias("rep")).unionAll(links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("d"))
-    tops = classes.join(labels.select(F.col("uid").alias("rep"), "comp"), "rep", "left").join(degree, "rep", "left").select("a", "b", "n", "rep", F.coalesce("comp", "rep").alias("comp"), F.coalesce("d", F.lit(0)).alias("d"))
-    placed = every.select("uid", "n", "a", "b").distinct().join(tops, ["a", "b", "n"], "left")
-    copies = (F.col("rep") != F.col("uid")).cast("long")
-    return placed.select("uid", "n", F.coalesce("comp", "uid").alias("comp"), F.coalesce(F.col("d") + copies, F.lit(0)).alias("links"))
+    tops = classes.join(labels.select(F.col("uid").alias("rep"), "comp"), "rep", "left").select("a", "b", "n", "rep", F.coalesce("comp", "rep").alias("comp"), "copies")
+    placed = every.select("uid", "n", "a", "b").distinct()
+    if not counted:
+        return placed.join(tops, ["a", "b", "n"], "left").select("uid", "n", F.coalesce("comp", "uid").alias("comp"))
+    members = written(labels.join(classes.select(F.col("rep").alias("uid"), "copies"), "uid"), "members")
+    sets = written(once(_sets(only(rows, members.select("uid")), size)).join(members, "uid"), "sets")
+    tops = tops.join(_degrees(sets, percent), "rep", "left")
+    links = F.coalesce("d", F.lit(0)) + F.col("copies") - 1
+    return placed.join(tops, ["a", "b", "n"], "left").select("uid", "n", F.coalesce("comp", "uid").alias("comp"), F.coalesce(links, F.lit(0)).alias("links"))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for every row of docs (doc_id, text).
 
     Documents link when 100 * shared >= percent * all their distinct shingles. component_id is the
-    least doc_id reachable by links (null if the group has none but null). n_links counts the links
-    of the document that were needed to find the component. Texts without words link with nothing;
+    least doc_id reachable by links (null if the group has none but null). n_links counts the other
+    documents that the document links with. Texts without words link with nothing;
     rows with equal ids are documents of their own, equal rows one.
     """
     uid, plain = uid_of(docs)
     rows = docs.select("doc_id", uid.alias("uid"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = grouped(rows, plain, size, percent)
+    placed = grouped(rows, plain, size, percent, counted=True)
     if plain:
         return placed.select(F.col("uid").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("links").alias("n_links"))
     named = rows.select("doc_id", "uid").join(written(placed, "placed"), "uid")
