@@ -10,6 +10,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
-from .pieces import PieceTable, take_runs
+from .pieces import PieceTable, flat_ids, gathered, take_runs
 
+#: Strings that are pre-tokenized at once.
+PRE_TOKENIZED = 1 << 14
 #: Characters that stand for the bytes 0-255: one block of letters without white space or marks.
 BYTE_BASE = 0x4E00
 
+# Fixed value: the public pattern whose matches take a space only at their start, or white space alone.
+SPACED_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -74,8 +80,7 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.ranks))
         self.find = regex.compile(pattern).findall
-        self.seen: dict[str, list[int]] = {}
-        self.table = PieceTable(self.encode)
+        self.table, self.usable = PieceTable(self.encode), pattern == SPACED_PATTERN
         tokens = [b for _, b in sorted((r, b) for b, r in self.ranks.items())]
         self.bytes = self._flat(tokens)
         self.decimal = self._flat([b"%d," % i for i in range(len(tokens))])
@@ -85,16 +90,32 @@ class ByteBpe:
         n = np.array([len(x) for x in items], np.int64)
         return np.frombuffer(b"".join(items), np.uint8), np.cumsum(n) - n, n
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        if len(self.seen) > 300_000:
-            self.seen.clear()
-        seen, cut = self.seen, [self.find(t) for t in texts]
-        new = list(dict.fromkeys(p for c in cut for p in c if p not in seen))
-        raw = [p.encode() for p in new]
-        for p, b, ids in zip(new, raw, self.model.encode([byte_text(b) for b in raw], out_type=int, num_threads=1) if new else ()):
-            whole = self.ranks.get(b)  # a pre-token that is itself in the vocabulary is one id
-            seen[p] = ids if whole is None else [whole]
-        return [[i for p in c for i in seen[p]] for c in cut]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text, pre-token by pre-token; each distinct one goes to the model once."""
+        sizes, flats = [], []
+        for a in range(0, len(texts), PRE_TOKENIZED):
+            cut = [self.find(t) for t in texts[a : a + PRE_TOKENIZED].to_pylist()]
+            slot = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+            raw = [p.encode() for p in slot]
+            known = [self.ranks.get(b) for b in raw]  # a pre-token that is itself in the vocabulary is one id
+            merged = iter(self.model.encode([byte_text(b) for b, k in zip(raw, known) if k is None], out_type=int, num_threads=1))
+            size, flat = flat_ids([next(merged) if k is None else (k,) for k in known])
+            counts = np.fromiter(map(len, cut), np.int64, len(cut))
+            picks = np.fromiter((slot[p] for c in cut for p in c), np.int64, int(counts.sum()))
+            sums = np.concatenate([[0], np.cumsum(size[picks])])
+            ends = np.cumsum(counts)
+            sizes.append(sums[ends] - sums[ends - counts])
+            flats.append(take_runs(flat, np.cumsum(size) - size, size, picks))
+        return np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*flats, np.zeros(0, np.uint32)])
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; by pieces between spaces where the pattern is known to cut there."""
+        if self.usable:
+            yield from self.table.ids(texts)
+            return
+        for a in range(0, len(texts), 256):
+            size, flat = self.encode(texts[a : a + 256])
+            yield from np.split(flat, np.cumsum(size)[:-1])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return take_runs(*self.bytes, ids).tobytes()
@@ -112,15 +133,26 @@ def opened(path: str, pattern: str) -> ByteBpe:
     return _OPEN[path, pattern]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBpe) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Column 0 and the ids of column 1, some rows at a time."""
+    for b in gathered(batches):
+        ids = bpe.ids(b.column(1))
+        for a in range(0, b.num_rows, 256):
+            part = b.column(0)[a : a + 256]
+            yield part, list(islice(ids, len(part)))
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids array<int>, decoded binary for every row (null text: no ids)."""
+    """doc_id, n_tokens, ids array<int>, decoded binary for every row (null or empty text: no ids).
+
+    Repeated rows give repeated rows, an empty table an empty result; ties don't matter.
+    """
     arrow_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = opened(ranks_path, pattern)
-        for b in batches:
-            ids = bpe.table.ids(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
+        for doc, ids in _encoded(batches, bpe):
+            yield pa.RecordBatch.from_arrays([doc, pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded binary")
@@ -132,9 +164,8 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = opened(ranks_path, pattern)
-        for b in batches:
-            ids = bpe.table.ids(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(bpe.digits(x)).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for doc, ids in _encoded(batches, bpe):
+            yield pa.RecordBatch.from_arrays([doc, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(bpe.digits(x)).hexdigest() for x in ids]), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; with very long texts the default of 10,000 doesn't fit a worker.
-ARROW_ROWS = "256"
+#: Rows and bytes handed to Python at once; with very long texts the default of 10,000 rows doesn't fit a worker.
+ARROW_ROWS, ARROW_BYTES = "2048", str(2 << 20)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -29,8 +29,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Removes the files of tables that written() gave, once nothing will read them again."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/tracehound/" not in path:
+                raise ValueError(f"not a table of written(): {path}")
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def arrow_rows(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows
+from .pieces import gathered
 from .token_store import library_table
 
 CHUNK, OVERLAP = 1 << 15, 1 << 9
@@ -84,19 +85,23 @@ def with_offsets(path: str) -> Callable[[str], list[Token]]:
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs (doc_id, text; null text: empty).
 
-    Texts of up to one chunk are encoded piece by piece (white space always separates tokens),
-    longer ones by spliced(). Repeated rows give repeated rows.
+    Texts of up to one chunk are encoded piece by piece where the tokenizer file is known to cut at
+    spaces, whole otherwise; longer ones by spliced(). Repeated rows give repeated rows, an empty
+    table an empty result; ties don't matter.
     """
     arrow_rows(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = library_table(tokenizer, joined=False)
+        pieces, usable = library_table(tokenizer)
         encode = with_offsets(tokenizer)
-        for b in batches:
+        for b in gathered(batches):
             text = b.column(1)
             long = np.flatnonzero(np.asarray(pc.utf8_length(text)) > chunk)
             short = pc.if_else(pc.greater(pc.utf8_length(text), chunk), "", text) if len(long) else text
-            n = pieces.counts(pc.replace_substring(short, "\n", " "))
+            if not usable:
+                n = np.concatenate([pieces.encode(short[a : a + 256])[0] for a in range(0, len(short), 256)])
+            else:
+                n = pieces.counts(short if pieces.joined else pc.replace_substring(short, "\n", " "))
             for i in long:
                 n[i] = len(spliced(encode, text[int(i)].as_py(), chunk))
             size = pc.binary_length(text).cast(pa.int64())
