@@ -1,16 +1,19 @@
 """Exact Jaccard join of documents on word shingles, by adaptive prefixes with multiple matches.
 
-All sets are sorted by one order: rare shingles first, as far as a fixed-size sketch of all
-shingles tells, then by hash. If x and y are similar enough they share the first l of their common
-shingles within the first |x| - need(x) + l and |y| - need(y) + l places, for every l. Each document
+All sets are sorted by one order. Shingles whose hash lies below a fixed share of all hashes come
+first, the rarer (by the documents that have it, counted exactly) before the more frequent; the others
+follow by hash. The share is a little more than a prefix needs, so the prefixes of nearly all
+documents consist of counted shingles. If x and y are similar enough they share the first l of their
+common shingles within the first |x| - need(x) + l and |y| - need(y) + l places, for every l. Each document
 picks the l that it expects to cost least: a longer prefix meets more postings, but a candidate must
-then share l of them.
+then share l of them. Shingles that one document alone has take places but need no posting.
 
 Lists of few documents give their pairs at once; a pair goes on to the comparison only if the parities
 of its sets, folded to 128 bits, differ in no more places than the sets of a similar pair can.
 For the longer lists the result is components of links, so equal sets are one vertex, and first each document is
 compared with one document that leads the lists it is in, another one each round; pairs are only formed across
 components that are still apart, which keeps large groups of near copies from being multiplied out.
+Lists whose documents are in one component are left behind after each round.
 Links are counted once the components are known: each is dealt into blocks of sets, and every two blocks are compared.
 """
 
@@ -21,16 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, uid_of, written
+from .common import arrow_rows, released, uid_of, written
 from .graphs import components
 from .repeats import BROADCAST_KEYS, as_long, mixed, only
 
-#: Counters of the sketch that gives the order; fixed, so its size doesn't grow with the data.
-CELLS, CHUNK = 1 << 19, 1 << 13
+#: Counted shingles, as a multiple of the share of a set that a prefix takes.
+COUNTED = 1.5
 MAX_MATCHES = 4
 #: Price of comparing two sets, in postings read, for each shingle of the set.
 VERIFY_COST = 0.25
@@ -43,8 +45,8 @@ DIRECT = 1
 #: A leader is worth comparing with when it shares more than one in so many of the places of a prefix.
 PROMISING = 4
 
-#: Sets of a component that are compared with as many others in one place.
-BLOCK = 128
+#: Bytes of a component's sets that are compared with as many others in one place.
+BLOCK = 1 << 20
 
 _MUL = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -90,52 +92,6 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h % np.uint64(CELLS)).astype(np.int64)
-
-
-def sketch(rows: DataFrame, size: int) -> np.ndarray:
-    """Number of documents by the hash cell of their shingles, over all rows; CELLS counters."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for b in batches:
-            total += np.bincount(np.concatenate([_cell(s) for s in shingle_sets(b.column(0), size)] or [np.zeros(0, np.int64)]), minlength=CELLS)
-        parts = np.minimum(total, 2**31 - 1).astype("<i4").reshape(-1, CHUNK)
-        n = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TaskContext.get().partitionId() % 64)), pa.array(np.arange(n)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "chunk", "counts"])
-
-    def merge(key, batches):
-        total = np.zeros(CHUNK, np.int64)
-        for b in batches:
-            for x in b.column("counts").to_pylist():
-                total += np.frombuffer(x, "<i4")
-        return pa.table({"part": [0], "chunk": [key[-1].as_py()], "counts": [np.minimum(total, 2**31 - 1).astype("<i4").tobytes()]})
-
-    kind = "part long, chunk long, counts binary"
-    fold = lambda key, t: merge(key, t.to_batches())
-    parts = rows.select("text").mapInArrow(scan, kind).groupBy("part", "chunk").applyInArrow(fold, kind)
-    found = parts.groupBy("chunk").applyInArrow(fold, kind).collect()  # CELLS / CHUNK rows
-    out = np.zeros((CELLS // CHUNK, CHUNK), np.int64)
-    for r in found:
-        out[r["chunk"]] = np.frombuffer(bytes(r["counts"]), "<i4")
-    return out.ravel()
-
-
-def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of set s in the common order, and the matches asked for."""
-    n = len(s)
-    need = -(-percent * n // 100)
-    likely = counts[_cell(s)]
-    order = np.lexsort((s, np.ceil(np.log2(np.maximum(likely, 1))).astype(np.int64)))
-    free = n - need
-    most = min(MAX_MATCHES, need)
-    reach = np.cumsum(np.maximum(likely[order[: free + most]] - 1, 0))
-    cost = [reach[free + k - 1] * (1 + VERIFY_COST * n / k) for k in range(1, most + 1)]
-    k = int(np.argmin(cost)) + 1
-    return s[order[: free + k]], k
-
-
 def folded(sets: list[np.ndarray]) -> np.ndarray:
     """Two longs a set: the parities of its hashes by their first 7 bits. Sets with d hashes of their own differ in d of these bits at most."""
     own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -144,20 +100,45 @@ def folded(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(len(sets), 2)
 
 
-def _prefixes(rows: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """uid, n, set hashes a and b, prefix, matches, parities p and q of every row."""
+def _posts(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """uid, n, set hashes a and b, parities p and q of every row, and the hashes that can get into its prefix.
+
+    post holds the first `counted` hashes, which are those below a fixed bound, and further ones where they
+    can't fill a prefix.
+    """
+    bound = np.uint64(min(1.0, COUNTED * (100 - percent) / 100) * (2**64 - 2**12))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = counts.value
         for b in batches:
             sets = shingle_sets(b.column(1), size)
-            got = [prefix_of(s, known, percent) if len(s) else (s, 0) for s in sets]
+            counted = [int(np.searchsorted(s, bound)) for s in sets]
+            post = [s[: max(c, len(s) * (100 - percent) // 100 + MAX_MATCHES)].view(np.int64) for s, c in zip(sets, counted)]
             whole = [np.array([f(s) for s in sets], np.uint64) for f in (lambda s: np.add.reduce(mixed(s)), lambda s: np.bitwise_xor.reduce(mixed(s * _MUL[1])))]
             bits = folded(sets)
-            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(as_long, whole), pa.array([p.view(np.int64) for p, _ in got], pa.list_(pa.int64())), pa.array([k for _, k in got], pa.int32()), pa.array(bits[:, 0]), pa.array(bits[:, 1])]
-            yield pa.RecordBatch.from_arrays(cols, ["uid", "n", "a", "b", "prefix", "matches", "p", "q"])
-
-    return rows.select("uid", "text").mapInArrow(scan, "uid long, n long, a long, b long, prefix array<long>, matches int, p long, q long")
+            cols = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), *map(as_long, whole), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(counted, pa.int32()), pa.array(post, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["uid", "n", "a", "b", "p", "q", "counted", "post"])
+
+    return rows.select("uid", "text").mapInArrow(scan, "uid long, n long, a long, b long, p long, q long, counted int, post array<long>")
+
+
+def _prefixes(posts: DataFrame, percent: int) -> DataFrame:
+    """uid, n, p, q, matches, prefix (array of place, token) of the rows whose prefix has a token that others have, too."""
+    posted = posts.select("uid", F.posexplode("post").alias("at", "token"), "counted")
+    posted = posted.select("uid", "token", F.when(F.col("at") >= F.col("counted"), F.col("at")).alias("late"))
+    shared = written(posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    own = posted.join(shared, "token").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("late", "df", "token"))).alias("own"))
+    free = F.col("n") - F.floor((percent * F.col("n") + 99) / 100)
+    most = F.least(F.lit(MAX_MATCHES), F.col("n") - F.col("free"))
+    # The counted tokens that no one else has come first, then those in own.
+    alone = F.col("counted") - F.size(F.filter("own", lambda x: x["late"].isNull()))
+    items = F.transform("own", lambda x, i: F.struct(F.coalesce(x["late"], F.col("alone") + i).alias("place"), x["token"].alias("token"), x["df"].alias("df")))
+    rows = posts.drop("post").join(own, "uid").withColumns({"free": free, "alone": alone}).withColumn("most", most)
+    rows = rows.withColumn("items", F.filter(items, lambda x: x["place"] < F.col("free") + F.col("most"))).where(F.size("items") > 0)
+    reach = lambda k: F.aggregate("items", F.lit(0).cast("double"), lambda t, x: t + F.when(x["place"] < F.col("free") + k, x["df"] - 1).otherwise(0))
+    priced = F.array_min(F.transform(F.sequence(F.lit(1), F.col("most").cast("int")), lambda k: F.struct((reach(k) * (1 + VERIFY_COST * F.col("n") / k)).alias("cost"), k.alias("k"))))
+    rows = rows.withColumn("matches", priced["k"])
+    prefix = F.transform(F.filter("items", lambda x: x["place"] < F.col("free") + F.col("matches")), lambda x: F.struct(x["place"].alias("place"), x["token"].alias("token")))
+    return rows.select("uid", "n", "p", "q", "matches", prefix.alias("prefix"))
 
 
 def _sets(rows: DataFrame, size: int) -> DataFrame:
@@ -209,10 +190,15 @@ def _near(percent: int):
 
 
 def _met(lists: DataFrame, percent: int) -> DataFrame:
-    """u, v, l, c: pairs of documents that meet in lists c times and could be similar; they must meet l times."""
-    x, y = lists.alias("x"), lists.alias("y")
+    """u, v, l, c: pairs of documents that meet in lists c times and could be similar; they must meet l times.
+
+    Sizes of similar sets are in the same or in neighbouring classes, which are part of the join's key.
+    """
+    kind = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    lists = lists.withColumn("kind", kind)
+    x, y = lists.alias("x"), lists.withColumn("kind", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1))).alias("y")
     least = F.least("x.matches", "y.matches")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent, "x.n", "y.n") & _early("x", percent, least) & _early("y", percent, least) & _near(percent))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent, "x.n", "y.n") & _early("x", percent, least) & _early("y", percent, least) & _near(percent))
     return met.groupBy(F.col("x.uid").alias("u"), F.col("y.uid").alias("v"), least.alias("l")).agg(F.count("*").alias("c"))
 
 
@@ -242,7 +228,7 @@ def _degrees(sets: DataFrame, percent: int) -> DataFrame:
                     total[right[near]] += copies[k]
         return pa.table({"uid": t.column("uid"), "d": pa.array(total)})
 
-    many = sets.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    many = sets.groupBy("comp").agg(F.ceil(F.sum(F.length("items")) / BLOCK).alias("blocks"))
     dealt = sets.join(many, "comp").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "block", "copies", "items")
@@ -255,49 +241,55 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int, counted: bool
     spark = rows.sparkSession
     arrow_rows(spark)
     once = (lambda df: df) if plain else (lambda df: df.dropDuplicates(["uid"]))
-    counts = spark.sparkContext.broadcast(sketch(rows, size))
-    every = written(_prefixes(rows, size, percent, counts), "prefixes")
+    every = written(_posts(rows, size, percent), "posts")
     full = every.where("n > 0")
-    classes = written(full.groupBy("a", "b", "n").agg(F.min("uid").alias("rep"), (F.count("*") if plain else F.count_distinct("uid")).alias("copies")), "classes")
-    reps = once(full.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi"))
-    posted = reps.select("uid", F.posexplode("prefix").alias("place", "token"))
-    shared = posted.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    lists = written(posted.join(shared, "token").join(reps.select("uid", "n", "matches", "p", "q"), "uid"), "lists")
+    classes = full.groupBy("a", "b", "n").agg(F.min("uid").alias("rep"), (F.count("*") if plain else F.count_distinct("uid")).alias("copies"))
+    classes = written(classes, "classes")
+    spare = written(full.select("uid", "a", "b", "n").join(classes.where("copies > 1"), ["a", "b", "n"]).where("uid != rep").select("uid").distinct(), "spare")
+    found = written(_prefixes(once(only(full, spare, "left_anti")), percent), "prefixes")
+    posted = found.select("uid", "n", "matches", "p", "q", F.explode("prefix").alias("x")).select("uid", "n", "matches", "p", "q", "x.*")
+    members = posted.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
+    lists = written(posted.join(members, "token"), "lists")
 
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         asked = written(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "asked")
-        return _links(pairs, written(once(_sets(only(rows, asked), size)), "sets"), percent)
+        sets = written(once(_sets(only(rows, asked), size)), "sets")
+        links = _links(pairs, sets, percent)
+        released(pairs, asked, sets)
+        return links
 
     # A similar pair meets in a short list, or else as often as asked for in long ones.
     links = compared(_met(lists.where(F.col("members") <= FEW).withColumn("comp", F.col("uid")), percent).select("u", "v").distinct())
-    lists = lists.where(F.col("members") > FEW)
     labels = components(spark.createDataFrame([], "uid long, comp long"), links)
+    open_ = lists.where(F.col("members") > FEW).drop("members")
     for k in range(ROUNDS + 1):
         moved = labels.where("uid != comp")
         moved = F.broadcast(moved) if moved.count() <= BROADCAST_KEYS else moved
-        known = lists.join(moved, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+        known = open_.join(moved, "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
         rank = F.col("uid") if k == 0 else F.xxhash64("uid", F.lit(k))  # another leader each time
-        # A list whose documents are in one component has nothing to add.
         parted = known.groupBy("token", "comp").agg(F.count("*").alias("c"), F.min(F.struct(rank.alias("rank"), "uid", "n", "comp")).alias("lead"))
+        # A list whose documents are in one component has nothing to add, now or later.
         apart = parted.groupBy("token").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.sum(F.col("c").cast("double") * F.col("c")).alias("same"), F.min("lead").alias("lead")).where("comps > 1")
         apart = written(apart, "apart")
         load = apart.agg(F.sum("c").alias("postings"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("same")) / 2).alias("across")).first()
         if not load["postings"]:
             break
+        left = written(known.join(apart.select("token", "lead"), "token"), "open")
+        released(lists, apart)
+        lists, open_ = left, left.drop("lead", "comp")
         last = k == ROUNDS or load["across"] <= DIRECT * load["postings"]
         if not last:
-            met = known.join(apart.select("token", "lead"), "token").where((F.col("comp") != F.col("lead.comp")) & _fits(percent, "n", "lead.n"))
+            met = left.where((F.col("comp") != F.col("lead.comp")) & _fits(percent, "n", "lead.n"))
             met = met.groupBy("uid", F.col("lead.uid").alias("v"), "n").agg(F.count("*").alias("c"))
             met = met.where(F.col("c") * 100 * PROMISING > F.col("n") * (100 - percent))
             pairs = met.groupBy(F.col("uid").alias("u")).agg(F.max(F.struct("c", "v")).alias("best")).select("u", "best.v")
         else:
-            open_ = written(known.join(apart.select("token"), "token", "left_semi"), "open")
-            pairs = _met(open_, percent).where("c >= l").select("u", "v")
-        found = compared(pairs)
-        labels = components(labels, found)
+            pairs = _met(left, percent).where("c >= l").select("u", "v")
+        labels = components(labels, compared(pairs))
         if last:
             break
+    released(lists, found, spare)
     tops = classes.join(labels.select(F.col("uid").alias("rep"), "comp"), "rep", "left").select("a", "b", "n", "rep", F.coalesce("comp", "rep").alias("comp"), "copies")
     placed = every.select("uid", "n", "a", "b").distinct()
     if not counted:
