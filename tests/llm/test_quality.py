@@ -70,6 +70,23 @@ def test_line_limit_is_the_same_in_large_hosts(spark):
     assert len(clean) == 2000 and all(clean[i] == (body(i) if i < 45 else data[i][1]) for i in clean)
 
 
+def test_paragraph_breaks_stay(spark):
+    data = [(i, f"first part {i} " + " ".join(f"w{i}x{k}" for k in range(12)) + f"\n\n \nsecond part {i}", "h") for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    assert sorted(map(tuple, quality.clean(docs).collect())) == data and all(r.kept for r in quality.judge(docs).collect())
+
+
+def test_repeated_rows_with_frequent_lines(spark):
+    line = "notice for all of our many readers of this site"
+    body = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    data = [(i, f"{line}\n{body(i)}", "h") for i in range(45)]
+    data += [data[3]] * 4 + [(3, data[3][1], "other")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    assert [r.kept for r in quality.judge(docs).collect()] == [True] * 50
+    got = [tuple(r) for r in quality.clean(docs).collect()]
+    assert got.count((3, body(3), "h")) == 5 and got.count((3, data[3][1], "other")) == 1 and len(got) == 50
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string, n_chars long")
     assert quality.judge(docs).count() == 0 and quality.clean(docs).columns == docs.columns

@@ -62,17 +62,17 @@ def _lines(text: Column) -> Column:
 
 
 def base_stats(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """doc_id, key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    rows = docs.select("doc_id", row_key().alias("key"), F.coalesce("text", F.lit("")).alias("t"))
+    """doc_id, key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    rows = docs.select("doc_id", row_key().alias("key"), _host().alias("host"), F.coalesce("text", F.lit("")).alias("t"))
     t = F.col("t")
     inside = bind(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).cast("long").alias("r"), F.length(F.array_join(w, "")).cast("long").alias("c")))
     out = rows.select(
-        "doc_id", "key", inside.alias("w"),
+        "doc_id", "key", "host", inside.alias("w"),
         F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
         bind(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     failed = (F.col("w.n") < rules.min_words) | (100 * F.col("w.r") > rules.max_repeat * F.col("w.n"))
-    return out.select("doc_id", "key", F.col("w.n").alias("n_words"), F.col("w.c").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"), failed.alias("base_failed"))
+    return out.select("doc_id", "key", "host", F.col("w.n").alias("n_words"), F.col("w.c").alias("word_chars"), "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"), failed.alias("base_failed"))
 
 
 def normal_line(line: Column) -> Column:
@@ -81,15 +81,20 @@ def normal_line(line: Column) -> Column:
 
 
 def _line_rows(docs: DataFrame, keep_line: bool) -> DataFrame:
-    lines = F.split(F.lower(F.coalesce("text", F.lit(""))), "\n")
-    host = F.coalesce("source", F.lit("")).alias("host")
+    """The lines that hold a word; blank ones are no one's boilerplate."""
+    lines = _lines(F.lower(F.coalesce("text", F.lit(""))))
+    host = _host().alias("host")
     if not keep_line:  # each line once a document
         return docs.select(host, F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.btrim(x))))).alias("line_hash"))
-    return docs.select("doc_id", row_key().alias("key"), host, F.explode(lines).alias("line")).withColumn("line_hash", F.xxhash64(F.btrim("line")))
+    return docs.select("doc_id", row_key().alias("key"), host, F.monotonically_increasing_id().alias("row"), F.explode(lines).alias("line")).withColumn("line_hash", F.xxhash64(F.btrim("line")))
+
+
+def _host() -> Column:
+    return F.coalesce("source", F.lit(""))
 
 
 def line_hits(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """(host, line_hash, doc_id, key, n_words) of every line that over its host's limits of documents hold.
+    """(host, line_hash, doc_id, key, row, n_words) of every line with a word that over its host's limits of documents hold.
 
     Rows with the same text and host count as one document. Lines in enough rows are found first,
     by counts that are summed within each task before they are shuffled, so no host or line is
@@ -101,16 +106,24 @@ def line_hits(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     rows = _line_rows(one, False).groupBy("host", "line_hash").agg(F.count("*").alias("n")).where(F.col("n") > rules.line_docs)
     lines = written(rows.join(hosts, rows.host == hosts.source).where(many("n")).select("host", "line_hash", "docs"), "lines")
     small = lines.count() <= rules.broadcast_lines
-    hits = written(_line_rows(one, True).join(F.broadcast(lines) if small else lines, ["host", "line_hash"]).select("host", "line_hash", "docs", "doc_id", "key", F.size(words(F.col("line"))).alias("n_words")), "hits")
+    hits = written(_line_rows(one, True).join(F.broadcast(lines) if small else lines, ["host", "line_hash"]).select("host", "line_hash", "docs", "doc_id", "key", "row", F.size(words(F.col("line"))).alias("n_words")), "hits")
     texts = hits.select("host", "line_hash", "docs", "key").distinct().groupBy("host", "line_hash", "docs").agg(F.count("*").alias("texts"))
     often = texts.where(many("texts")).select("host", "line_hash")
     return hits.drop("docs").join(F.broadcast(often) if small else often, ["host", "line_hash"])
 
 
 def depleted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """d, k (doc_id and key), gone (words in frequent lines) and the lines' hashes, for documents with such lines."""
-    out = line_hits(docs, rules).groupBy("doc_id", "key").agg(F.sum("n_words").cast("long").alias("gone"), F.collect_set("line_hash").alias("hashes"))
-    return out.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "gone", "hashes")
+    """d, k, h (doc_id, key and host), gone (words in frequent lines) and the lines' hashes, for documents with such lines.
+
+    Equal rows give one.
+    """
+    name = [F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("host").alias("h")]
+    rows = line_hits(docs, rules).groupBy(*name, "row").agg(F.sum("n_words").cast("long").alias("gone"), F.collect_set("line_hash").alias("hashes"))
+    return rows.groupBy("d", "k", "h").agg(F.max("gone").alias("gone"), F.max("hashes").alias("hashes"))
+
+
+def _with_lines(stats: DataFrame, gone: DataFrame) -> DataFrame:
+    return stats.join(gone, stats.doc_id.eqNullSafe(gone.d) & (stats.key == gone.k) & (stats.host == gone.h), "left")
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -121,8 +134,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     gone = depleted(docs, rules).drop("hashes")
     stats = base_stats(docs, rules)
-    both = stats.join(gone, stats.doc_id.eqNullSafe(gone.d) & (stats.key == gone.k), "left")
-    return both.select(*stats.columns, _kept(F.coalesce("gone", F.lit(0)), rules).alias("kept"))
+    return _with_lines(stats, gone).drop("host").select(*(c for c in stats.columns if c != "host"), _kept(F.coalesce("gone", F.lit(0)), rules).alias("kept"))
 
 
 def _kept(gone: Column, rules: Rules) -> Column:
@@ -131,13 +143,14 @@ def _kept(gone: Column, rules: Rules) -> Column:
 
 
 def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Rows of docs that pass, without their host's frequent lines; the columns of docs.
+    """Rows of docs that pass, without their host's frequent lines; blank lines stay. The columns of docs.
 
     n_chars, where there is one, follows the text that is left.
     """
     verdict = written(_verdicts(docs, rules), "verdict")
     good = verdict.where("kept")
-    left = docs.withColumns({"_th_key": row_key()}).alias("a").join(good.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._th_key") == F.col("b.key")))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._th_key") == F.col("b.key")) & (F.col("a._th_host") == F.col("b.host"))
+    left = docs.withColumns({"_th_key": row_key(), "_th_host": _host()}).alias("a").join(good.alias("b"), same)
     kept_lines = F.array_join(F.filter(F.split(F.col("a.text"), "\n"), lambda x: ~F.array_contains(F.col("b.hashes"), F.xxhash64(normal_line(x)))), "\n")
     text = F.when(F.size("b.hashes") > 0, kept_lines).otherwise(F.col("a.text"))
     cols = [text.alias("text") if c == "text" else F.col(f"a.`{c}`") for c in docs.columns]
@@ -148,9 +161,7 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def _verdicts(docs: DataFrame, rules: Rules) -> DataFrame:
-    """doc_id, key, kept and the hashes of frequent lines, one row for each distinct (doc_id, key)."""
-    gone = depleted(docs, rules)
-    stats = base_stats(docs, rules)
-    both = stats.join(gone, stats.doc_id.eqNullSafe(gone.d) & (stats.key == gone.k), "left")
-    out = both.select("doc_id", "key", _kept(F.coalesce("gone", F.lit(0)), rules).alias("kept"), F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes"))
-    return out.dropDuplicates(["doc_id", "key"])
+    """doc_id, key, host, kept and the hashes of frequent lines, one row for each distinct (doc_id, key, host)."""
+    both = _with_lines(base_stats(docs, rules), depleted(docs, rules))
+    out = both.select("doc_id", "key", "host", _kept(F.coalesce("gone", F.lit(0)), rules).alias("kept"), F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes"))
+    return out.dropDuplicates(["doc_id", "key", "host"])
