@@ -67,3 +67,49 @@ def test_redaction(spark):
     assert secrets.redact(docs).columns == docs.columns
     assert [r[1] for r in got] == [None, "", "a [SECRET] b [SECRET] c", "[SECRET]", "é [SECRET] é", "clean"]
     assert [r[2] for r in got] == [5, 5, 23, 8, 12, 5] and got[2][3] == "k"
+
+
+def test_short_candidates_and_names(spark):
+    data = ["see Zk9QmT4xLw2RbV7n here", "test_key=q7Gh2kLp9XzR4tVb8NmW1sYc", "sample/q7Gh2kLp9XzR4tVb8NmW1sYc", "my_example_name_of_2024", "xyz1xyz1xyz1xyz1xyz1", "zzzzzzzzzzzzzzzz1"]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()}
+    assert got == {0: "entropy:4:20", 1: "entropy:9:33", 2: "entropy:0:31", 3: "", 4: "", 5: ""}
+
+
+def test_running(spark):
+    data = [[], [3], list(range(200)), [5, 1, 9, 2] * 100]
+    c = F.col("a")
+    got = spark.createDataFrame([(x,) for x in data], "a array<int>").select("a", secrets.running(c, F.lit(0), lambda s, x: s + x).alias("s"), secrets.running(c, F.lit(0), F.greatest).alias("m")).collect()
+    for r in got:
+        assert r.s == [sum(r.a[: i + 1]) for i in range(len(r.a))] and r.m == [max(r.a[: i + 1]) for i in range(len(r.a))]
+
+
+def test_random_spans_are_cut_right(spark):
+    rng = random.Random(8)
+    parts = ["password=abcdefghijkl", "deadbeefdeadbeef0", "q7Gh2kLp9XzR4tVb8NmW1sYc", " é漢\U0001f600 ", "w " * 3000, "\n", "token=deadbeefdeadbeef0q7Gh2kLp9XzR4tVb8NmW1sYc/"]
+    data = ["".join(rng.choice(parts) for _ in range(12)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    where = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in secrets.find_secrets(docs).collect()}
+    for r in secrets.redact(docs).collect():
+        out, at = "", 0
+        for a, e in where[r.doc_id]:
+            if a >= at:
+                out += data[r.doc_id][at:a] + "[SECRET]"
+            at = max(at, e)
+        assert r.text == out + data[r.doc_id][at:]
+
+
+def test_long_texts(spark):
+    """A run of millions of token characters, and many spans: neither may cost its square."""
+    rng = random.Random(1)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(2_000_000))
+    data = [run, "token=abcdefghijkl, q7Gh2kLp9XzR4tVb8NmW1sYc " * 20_000, "a1/" * 200_000]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.spans for r in secrets.secret_report(docs).collect()}
+    assert got[0] == f"entropy:0:{len(run)}" and got[1].count("assign:") == got[1].count("entropy:") == 20_000 and got[2] == ""
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {0: "[SECRET]", 1: "[SECRET], [SECRET] " * 20_000, 2: data[2]}
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
+    assert secrets.secret_report(docs).count() == 0 and secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == 0
