@@ -2,9 +2,13 @@
 
 A page becomes a tree of block elements. Neighbouring children that repeat fold into one repeated
 child or group. Two trees are aligned child by child; what only one of them has becomes optional,
-what matches is aligned in turn, texts become slots. Doing so page after page gives the host's
-wrapper, which also sums how much text each place held. The place of the article is chosen once
-for a host, from the wrapper; each page then gives the blocks found there.
+what matches is aligned in turn. Texts that meet in one place are counted by a majority vote: where
+they differ the place is a text slot, where nearly all pages have the same it is the host's template.
+Doing so page after page gives the host's wrapper, which also sums how much text each place held. The
+place of the article is chosen once for a host, from the wrapper; each page is matched with it and
+gives the blocks found there, without the template's. What varies from page to page and still isn't
+article (adverts, comments) no alignment can tell from article text: such elements are known by tag,
+role and the words of their class and id.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,9 +48,22 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
+#: Places of hosts are sent to every task up to so many bytes, joined beyond.
+BROADCAST_BYTES = 16 << 20
+#: Pages that a host needs before equal text in one place counts as its template, and the votes for that text, in per cent of the pages that have the place.
+LEAST_PAGES, TEMPLATE_VOTES = 8, 80
+#: Children of two elements are aligned by the longest common subsequence up to this product of their numbers, by an increasing one beyond.
+ALIGN = 20_000
+
+
 @dataclass
 class Node:
-    """An element with its label; text: characters of its own, links: those inside links."""
+    """An element, or the place of such elements in a wrapper.
+
+    text: characters of its own, links: those inside links. value: hash of its own text (0: none);
+    votes: pages with that text less pages with another (a majority vote), so a text slot has few and
+    the template's text as many as pages. blocks: its text blocks in a page.
+    """
 
     label: str
     noise: bool = False
@@ -54,50 +72,89 @@ class Node:
     pages: int = 1
     optional: bool = False
     repeated: bool = False
+    value: int = 0
+    votes: int = 0
     children: list[Node] = field(default_factory=list)
+    blocks: list[int] = field(default_factory=list)
+
+    def walk(self) -> Iterator[Node]:
+        """The tree, parents before children, in order."""
+        todo = [self]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo.extend(reversed(n.children))
 
     def dump(self) -> list:
-        return [self.label, int(self.noise), self.text, self.links, self.pages, int(self.optional), int(self.repeated), [c.dump() for c in self.children]]
+        """A row for each node, parents first; flat, so depth doesn't matter."""
+        return [[n.label, int(n.noise), n.text, n.links, n.pages, int(n.optional), int(n.repeated), n.value, n.votes, len(n.children)] for n in self.walk()]
 
     @staticmethod
-    def load(x: list) -> Node:
-        return Node(x[0], bool(x[1]), x[2], x[3], x[4], bool(x[5]), bool(x[6]), [Node.load(c) for c in x[7]])
+    def load(rows: list) -> Node:
+        top = Node("")
+        open_ = [[top, 1]]
+        for label, noise, text, links, pages, optional, repeated, value, votes, inner in rows:
+            while not open_[-1][1]:
+                open_.pop()
+            open_[-1][1] -= 1
+            node = Node(label, bool(noise), text, links, pages, bool(optional), bool(repeated), value, votes)
+            open_[-1][0].children.append(node)
+            open_.append([node, inner])
+        return top.children[0]
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """Name of an element for alignment, and whether it can't hold article text."""
+    """Name of an element for alignment, and whether it can't hold article text (the name tells that, too).
+
+    Digits right behind letters of a class stay; numbers in ids differ from page to page.
+    """
     found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)} if attrs.strip(" /\t\n") else {}
-    named = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{found.get('class', '')} {found.get('id', '')}").lower())
+    parts = lambda v, digits: re.findall(r"[a-z]+[0-9]*" if digits else r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())
+    named = set(parts(found.get("class", ""), True)) | set(parts(found.get("id", ""), False))
     style = found.get("style", "").replace(" ", "").lower()
-    noise = tag in NOISE_TAGS or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "") == "true" or "display:none" in style
-    noise = noise or tag not in STEMS and any(w in NOISE_WORDS for w in named)
-    return ".".join([tag, *sorted(set(named) | ({f"role-{found['role'].lower()}"} if "role" in found else set()))]), noise
+    hidden = "hidden" in found or found.get("aria-hidden", "") == "true" or "display:none" in style
+    noise = hidden or tag in NOISE_TAGS or found.get("role", "").lower() in NOISE_ROLES
+    noise = noise or tag not in STEMS and any(w.rstrip("0123456789") in NOISE_WORDS for w in named)
+    return ".".join([tag, *sorted(named | ({f"role-{found['role'].lower()}"} if "role" in found else set())), *(["!hidden"] if hidden else [])]), noise
 
 
-def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], bool, str]]]:
-    """The page's tree, and its text blocks in order: path of labels, in noise, text.
+def _both(a: int, b: int) -> int:
+    """Hash of two texts side by side, each given by its hash."""
+    return a or b if not a or not b else (a * 0x9E3779B97F4A7C15 + b) % (1 << 64) | 1
+
+
+def parse(page: str) -> tuple[Node, list[str]]:
+    """The page's tree, folded, and its text blocks in order; nodes tell their blocks.
 
     Broken markup is read leniently: what is never closed ends with its parent or the page, stray
     end tags are ignored, a cut-off tag is dropped.
     """
+    import xxhash
+
     root = Node("")
     stack: list[Node] = [root]
-    tags, bad = [""], [False]
-    blocks: list[tuple[tuple[str, ...], bool, str]] = []
+    tags = [""]
+    open_tags: dict[str, list[int]] = {}
+    blocks: list[str] = []
     held: list[str] = []
-    in_link, skip_to = 0, ""
+    in_link = 0
     at = 0
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            blocks.append((tuple(n.label for n in stack[1:]), bad[-1], text))
-            stack[-1].text += len(text)
+            own = stack[-1]
+            own.blocks.append(len(blocks))
+            own.value, own.votes = _both(own.value, xxhash.xxh3_64_intdigest(text) | 1), 1
+            own.text += len(text)
+            blocks.append(text)
 
     def pop(to: int) -> None:
         flush()
-        del stack[to:], tags[to:], bad[to:]
+        while len(stack) > to:
+            _fold(stack.pop())
+            open_tags[tags.pop()].pop()
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -118,8 +175,8 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], bool, str]]]:
             at = end.end() if end else len(page)
         elif m[1]:
             if tag in BLOCK or tag in NOISE_TAGS:
-                if tag in tags:
-                    pop(len(tags) - 1 - tags[::-1].index(tag))
+                if open_tags.get(tag):
+                    pop(open_tags[tag][-1])
                 else:
                     flush()
             elif tag == "a":
@@ -132,132 +189,299 @@ def parse(page: str) -> tuple[Node, list[tuple[tuple[str, ...], bool, str]]]:
             flush()
             if tag in VOID:
                 continue
-            if tag != "button" and tag != "label" and "p" in tags and tags[-1] == "p":
+            if tag != "button" and tag != "label" and tags[-1] == "p":
                 pop(len(tags) - 1)
             for k in range(len(tags) - 1, 0, -1):
                 if tags[k] in CLOSES.get(tag, ()):
                     pop(k)
                 elif tags[k] in BLOCK:
                     break
-            label, noise = _label(tag, m[3])
-            node = Node(label, noise)
+            node = Node(*_label(tag, m[3]))
             stack[-1].children.append(node)
+            open_tags.setdefault(tag, []).append(len(tags))
             stack.append(node)
             tags.append(tag)
-            bad.append(bad[-1] or noise)
             in_link = 0
     flush()
-    return fold(root), blocks
+    while len(stack) > 1:
+        _fold(stack.pop())
+    _fold(root)
+    return root, blocks
 
 
-def fold(node: Node) -> Node:
+def _fold(node: Node) -> None:
     """Children that repeat side by side become one repeated child, runs of up to four one repeated group."""
-    out: list[Node] = []
-    for c in map(fold, node.children):
-        if out and out[-1].label == c.label:
-            out[-1] = merge(out[-1], c, within=True)
-            out[-1].repeated = True
+    groups: list[list[Node]] = []
+    for c in node.children:
+        if groups and groups[-1][0].label == c.label:
+            groups[-1].append(c)
         else:
-            out.append(c)
+            groups.append([c])
     for size in (2, 3, 4):
+        out: list[list[Node]] = []
+        last: list[int] = []  # where the group that ended the list began, if one did
         k = 0
-        while k + 2 * size <= len(out):
-            if [c.label for c in out[k : k + size]] == [c.label for c in out[k + size : k + 2 * size]]:
-                both = [merge(a, b, within=True) for a, b in zip(out[k : k + size], out[k + size : k + 2 * size])]
-                for c in both:
-                    c.repeated = True
-                out[k : k + 2 * size] = both
+        while k < len(groups):
+            run = groups[k : k + size]
+            begin = last[-1] if last and len(out) - last[-1] == size else None
+            if len(run) == size and begin is not None and [g[0].label for g in run] == [g[0].label for g in out[begin:]]:
+                for g, more in zip(out[begin:], run):
+                    g.extend(more)
+                k += size
+                continue
+            if len(run) == size and [g[0].label for g in run] == [g[0].label for g in groups[k + size : k + 2 * size]]:
+                last.append(len(out))
+                out += [list(g) for g in run]
+                k += size
+                continue
+            out.append(groups[k])
+            k += 1
+        groups = out
+    node.children = [g[0] if len(g) == 1 else _united(g, within=True) for g in groups]
+
+
+def _aligned(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of labels."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    a, b = x[head : len(x) - tail], y[head : len(y) - tail]
+    middle: list[tuple[int, int]] = []
+    if len(a) * len(b) <= ALIGN:
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(a) and j < len(b):
+            if a[i] == b[j]:
+                middle.append((i, j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    else:
+        # The k-th of a label meets the k-th of the other side; of these pairs the longest increasing run counts.
+        where: dict[str, list[int]] = {}
+        for j in range(len(b) - 1, -1, -1):
+            where.setdefault(b[j], []).append(j)
+        pairs = [(i, where[t].pop()) for i, t in enumerate(a) if where.get(t)]
+        ends: list[int] = []
+        tops: list[int] = []
+        before = [-1] * len(pairs)
+        for k, (_, j) in enumerate(pairs):
+            at = bisect_left(ends, j)
+            ends[at : at + 1], tops[at : at + 1] = [j], [k]
+            before[k] = tops[at - 1] if at else -1
+        k = tops[-1] if tops else -1
+        while k >= 0:
+            middle.append(pairs[k])
+            k = before[k]
+        middle.reverse()
+    return [(i, i) for i in range(head)] + [(head + i, head + j) for i, j in middle] + [(len(x) - tail + i, len(y) - tail + i) for i in range(tail)]
+
+
+def _united(same: list[Node], within: bool) -> Node:
+    """One node for nodes with one label, their children aligned in turn; within: all are from one page."""
+    top: list[Node] = []
+    todo = [(same, False, False, top)]
+    while todo:
+        nodes, optional, repeated, into = todo.pop()
+        out = Node(nodes[0].label, nodes[0].noise)
+        out.text, out.links = sum(n.text for n in nodes), sum(n.links for n in nodes)
+        out.pages = max(n.pages for n in nodes) if within else sum(n.pages for n in nodes)
+        out.optional = optional or any(n.optional for n in nodes)
+        out.repeated = repeated or any(n.repeated for n in nodes) or within and len(nodes) > 1
+        for n in nodes:
+            out.blocks += n.blocks
+            if within:
+                out.value = _both(out.value, n.value)
+                out.votes = int(out.value > 0)
+            elif n.value == out.value or not n.votes:
+                out.votes += n.votes
+            elif n.votes > out.votes:
+                out.value, out.votes = n.value, n.votes - out.votes
             else:
-                k += 1
-    node.children = out
-    return node
-
-
-def merge(a: Node, b: Node, within: bool = False) -> Node:
-    """Alignment of two trees with one label. within: both are from one page."""
-    out = Node(a.label, a.noise or b.noise, a.text + b.text, a.links + b.links, max(a.pages, b.pages) if within else a.pages + b.pages, a.optional or b.optional, a.repeated or b.repeated)
-    x, y = a.children, b.children
-    if [c.label for c in x] == [c.label for c in y]:
-        out.children = [merge(p, q, within) for p, q in zip(x, y)]
-        return out
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].label == y[j].label else max(best[i + 1][j], best[i][j + 1])
+                out.votes -= n.votes
+        groups: list[tuple[list[Node], bool, bool]] = [([c], False, False) for c in nodes[0].children]
+        for n in nodes[1:]:
+            groups = _spread(groups, n.children)
+        into.append(out)
+        out.children = [out] * len(groups)  # places, filled below
+        todo += [(g, opt, rep, _Slot(out.children, k)) for k, (g, opt, rep) in enumerate(groups)]
+    return top[0]
+
+
+class _Slot:
+    """Takes a node into its place among its parent's children."""
+
+    def __init__(self, children: list[Node], place: int):
+        self.children, self.place = children, place
+
+    def append(self, node: Node) -> None:
+        self.children[self.place] = node
+
+
+def _spread(groups: list, children: list[Node]) -> list:
+    """Groups of aligned children (nodes, optional, repeated) with the children of one more element."""
+    met = _aligned([g[0][0].label for g in groups], [c.label for c in children])
+    out: list = []
+
+    def alone(nodes: list[Node], repeated: bool) -> None:
+        if out and out[-1][0][0].label == nodes[0].label:  # an optional twin is a repetition
+            out[-1] = (out[-1][0] + nodes, True, True)
+        else:
+            out.append((nodes, True, repeated))
+
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].label == y[j].label:
-            out.children.append(merge(x[i], y[j], within))
-            i, j = i + 1, j + 1
-            continue
-        left = j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]
-        c = x[i] if left else y[j]
-        i, j = (i + 1, j) if left else (i, j + 1)
-        c.optional = True
-        if out.children and out.children[-1].label == c.label:  # an optional twin is a repetition
-            c = merge(out.children.pop(), c, within)
-            c.repeated = c.optional = True
-        out.children.append(c)
+    for p, q in [*met, (len(groups), len(children))]:
+        for g in groups[i:p]:
+            alone(g[0], g[2])
+        for c in children[j:q]:
+            alone([c], False)
+        if p < len(groups):
+            out.append((groups[p][0] + [children[q]], *groups[p][1:]))
+        i, j = p + 1, q + 1
     return out
 
 
-def expression(node: Node) -> str:
-    """The wrapper as a regular expression over labels; # is a text slot."""
-    inner = " ".join((["#"] if node.text else []) + [expression(c) for c in node.children])
-    body = f"<{node.label}>{inner}</>" if node.label else inner
-    return f"({body}){'*' if node.optional and node.repeated else '?' if node.optional else '+' if node.repeated else ''}" if node.optional or node.repeated else body
+def merge(a: Node, b: Node) -> Node:
+    """Alignment of the trees of two pages, or wrappers."""
+    return _united([a, b], within=False)
 
 
-def main_path(root: Node) -> tuple[str, ...]:
-    """Labels down to the element that holds the article; empty: the whole page."""
-    sizes: dict[int, int] = {}
+def expression(root: Node) -> str:
+    """The wrapper as a regular expression over labels; # is text, a slot or the template's."""
+    out: list[str] = []
+    todo: list = [root]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
+        mark = "*" if n.optional and n.repeated else "?" if n.optional else "+" if n.repeated else ""
+        parts: list = [x for c in ([*(["#"] if n.text else []), *n.children]) for x in (" ", c)][1:]
+        if n.label:
+            parts = [f"<{n.label}>", *parts, "</>"]
+        todo.extend(reversed([f"(" if mark else "", *parts, f"){mark}" if mark else ""]))
+    return "".join(out)
+
 
-    def size(n: Node) -> int:
-        sizes[id(n)] = 0 if n.noise else max(0, n.text - n.links) + sum(map(size, n.children))
-        return sizes[id(n)]
+def template(root: Node) -> list[tuple[str, int]]:
+    """Place (hash of its path of labels) and hash of every text that nearly all pages with the place have.
 
-    size(root)
-    named: list[tuple[Node, tuple[str, ...], int]] = []
+    Where a host has few pages, or nothing but such text, nothing counts as its template.
+    """
+    import xxhash
 
-    def walk(n: Node, path: tuple[str, ...]) -> None:
+    found: list[tuple[str, int]] = []
+    slots = 0
+    for n, place in _places(root, xxhash):
         if n.noise:
-            return
+            continue
+        if n.value and root.pages >= LEAST_PAGES and 2 * n.pages >= root.pages and 100 * n.votes >= TEMPLATE_VOTES * n.pages:
+            found.append((place, n.value))
+        else:
+            slots += n.text
+    return found if slots else []
+
+
+def _places(root: Node, xxhash) -> Iterator[tuple[Node, str]]:
+    todo = [(root, "")]
+    while todo:
+        n, place = todo.pop()
+        yield n, place
+        todo.extend((c, xxhash.xxh3_64_hexdigest(f"{place} {c.label}")) for c in reversed(n.children) if not n.noise)
+
+
+def _sizes(root: Node) -> dict[int, int]:
+    """Characters outside links and noise, below each node."""
+    sizes: dict[int, int] = {}
+    for n in reversed(list(root.walk())):
+        sizes[id(n)] = 0 if n.noise else max(0, n.text - n.links) + sum(sizes[id(c)] for c in n.children)
+    return sizes
+
+
+def main_path(root: Node) -> tuple[str, ...]:
+    """Labels down to the element that holds the article; empty: the whole page."""
+    sizes = _sizes(root)
+    up: dict[int, Node] = {}
+    named: list[tuple[Node, int]] = []
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        if n.noise:
+            continue
         parts = n.label.split(".")
-        rank = 3 if parts[0] == "article" else 2 if parts[0] == "main" or "role-main" in parts else 1 if parts[0] in ("div", "section") and any(w in MAIN_WORDS for w in parts[1:]) else 0
+        rank = 3 if parts[0] == "article" else 2 if parts[0] == "main" or "role-main" in parts else 1 if parts[0] in ("div", "section") and any(w.rstrip("0123456789") in MAIN_WORDS for w in parts[1:]) else 0
         if rank and sizes[id(n)]:
-            named.append((n, path, rank))
-        for c in n.children:
-            walk(c, (*path, c.label))
+            named.append((n, rank))
+        for c in reversed(n.children):
+            up[id(c)] = n
+            todo.append(c)
+
+    def path(n: Node) -> tuple[str, ...]:
+        out = []
+        while n is not root:
+            out.append(n.label)
+            n = up[id(n)]
+        return tuple(reversed(out))
 
-    walk(root, ())
     total = sizes[id(root)]
     for rank in (3, 2, 1):
-        own = [x for x in named if x[2] == rank]
+        own = [x for x in named if x[1] == rank]
         if own:
             most = max(own, key=lambda x: sizes[id(x[0])])
             if 2 * sizes[id(most[0])] >= total:
-                return most[1]
+                return path(most[0])
     if named:
-        most = max(named, key=lambda x: (sizes[id(x[0])], -x[2]))
+        most = max(named, key=lambda x: (sizes[id(x[0])], -x[1]))
         if 2 * sizes[id(most[0])] >= total:
-            return most[1]
-    node, path = root, ()
+            return path(most[0])
+    node = root
     while True:  # down while one child holds nearly all text
         best = max((c for c in node.children if not c.noise), key=lambda c: sizes[id(c)], default=None)
         if best is None or best.repeated or not best.children or 10 * sizes[id(best)] < 9 * sizes[id(node)] or not sizes[id(best)]:
-            return path
-        node, path = best, (*path, best.label)
+            return path(node)
+        node = best
+
+
+def _inside(root: Node, path: tuple[str, ...], fixed: set) -> list[int]:
+    """Blocks at path outside noise and the host's template, in page order."""
+    import xxhash
 
+    out: list[int] = []
+    todo = [(root, 0, "")]
+    while todo:
+        n, depth, place = todo.pop()
+        if n.noise:
+            continue
+        if depth == len(path) and (place, n.value) not in fixed:
+            out += n.blocks
+        for c in n.children:
+            if depth == len(path) or c.label == path[depth]:
+                todo.append((c, min(depth + 1, len(path)), xxhash.xxh3_64_hexdigest(f"{place} {c.label}") if fixed else ""))
+    return sorted(out)
 
-def article(page: str, path: tuple[str, ...]) -> str:
-    """The blocks at path that aren't noise; where the page has no such place, at the page's own."""
+
+def article(page: str, path: tuple[str, ...], fixed: set = frozenset()) -> str:
+    """The blocks at path that are neither noise nor the host's template.
+
+    Where the page's own place of the article holds more than twice as much, that place counts instead.
+    """
     tree, blocks = parse(page)
-    n = len(path)
-    texts = [t for p, bad, t in blocks if not bad and p[:n] == path]
-    if not texts and n:
-        own = main_path(tree)
-        texts = [t for p, bad, t in blocks if not bad and p[: len(own)] == own]
-    return "\n\n".join(texts)
+    picks = _inside(tree, path, fixed)
+    own = main_path(tree)
+    if own != path:
+        others = _inside(tree, own, fixed)
+        size = lambda k: sum(len(blocks[i]) for i in k)
+        if size(others) > 2 * size(picks):
+            picks = others
+    return "\n\n".join(blocks[i] for i in picks)
 
 
 def _host() -> Column:
@@ -303,22 +527,26 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
     Null html is empty, null urls are one host. Text is blocks of the article, white space runs as
-    one space, joined by an empty line.
+    one space, joined by an empty line. Repeated rows give repeated rows (and count as pages of their
+    host), an empty table an empty result.
     """
     arrow_rows(pages.sparkSession)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(main_path(Node.load(json.loads(w)))) for w in b.column(1).to_pylist()], pa.string())], ["host", "path"])
+            trees = [Node.load(json.loads(w)) for w in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps([main_path(t), template(t)]) for t in trees], pa.string())], ["host", "path"])
 
     places = written(infer(pages).mapInArrow(choose, "host string, path string"), "places")
-    few = places.count() <= 100_000
+    few = (places.agg(F.sum(F.length("path") + F.length("host") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"))
     both = rows.join(F.broadcast(places) if few else places, "host", "left").select("page_id", "url", "html", "path")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [article(h, tuple(json.loads(p or "[]"))) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            read = {p: json.loads(p or "[[], []]") for p in set(b.column(3).to_pylist())}
+            read = {p: (tuple(x[0]), {tuple(y) for y in x[1]}) for p, x in read.items()}
+            texts = [article(h, *read[p]) for h, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema
