@@ -1,16 +1,18 @@
 """Ranged reading, streams, arrays, damaged containers and recovery on files."""
 
 import hashlib
+import json
 import os
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tracehound import commands
-from tracehound.operators import healer, raid, recovery, scoring, signatures
+from tracehound.operators import audit, healer, raid, recovery, report_files, scoring, signatures
 from tracehound.sources import ranged
-from tracehound.streaming import carry
+from tracehound.streaming import carry, progress
 
 
 def put(folder, name, data):
@@ -192,3 +194,141 @@ def test_scan_and_hex(spark, tmp_path):
     assert len(commands.warnings_of(commands.Options(synology=True, read_only=False))) == 2
     healed = commands.mount(spark, put(tmp_path, "v/bad.vhdx", bytes(300) + b"hsqs"), heal=True).collect()
     assert [(r.kind, r.name, r.offset) for r in healed] == [("healed", "squashfs", 300)]
+
+
+def test_only_asked_ranges_are_read(spark, tmp_path):
+    big = put(tmp_path, "big.img", bytes(10 << 20))
+    small = [put(tmp_path, f"s/{k:03d}", b"x" * 10) for k in range(40)]
+    reader = lambda **o: ranged._Reader({"path": "\n".join([big, *small]), **{k: str(v) for k, v in o.items()}})
+    pieces = lambda r: [p for x in r.partitions() for p in x.pieces]
+    assert sum(e - a for _, a, e, _ in pieces(reader(chunk=1 << 20))) == (10 << 20) + 400 and len(reader(chunk=1 << 20).partitions()) <= 5
+    head = pieces(reader(chunk=1 << 20, stop=1 << 20))
+    assert [p for p in head if p[0] == big] == [(big, 0, 1 << 20, 10 << 20)] and len(head) == 41
+    assert [p[1:3] for p in pieces(reader(chunk=1024, start=5000, stop=5100)) if p[0] == big] == [(4096, 5100)]
+    ends = ranged._Reader({"path": big, "chunk": "4096", "stop": "4096", "tail": "5000"})
+    assert pieces(ends) == [(big, 0, 4096, 10 << 20), (big, ((10 << 20) - 5000) // 4096 * 4096, 10 << 20, 10 << 20)]
+    assert [len(c) for x in ends.partitions() for *_, c in ends.read(x)] == [4096, 4096, 4096]
+    assert ranged._Reader({"path": big, "chunk": "1024", "stop": "2000", "tail": str(10 << 20)}).spans(10 << 20) == [(0, 10 << 20)]
+
+
+def test_one_pass_finder():
+    table = [signatures.Compiled(k, 0, *signatures.parse_magic(m), 0, c) for k, m, c in (("a", "41 42", b"AB"), ("b", "41 42 43", b"ABC"), ("c", "42 ?? 44", b"B"), ("d", "41 42", b"AB"))]
+    found = {(s.id, hit) for s, hit in signatures.Finder(table).matches(b"xABCDABx\xff\x00")}
+    assert found == {("a", 1), ("a", 5), ("b", 1), ("c", 2), ("d", 1), ("d", 5)} and not list(signatures.Finder([]).matches(b"AB"))
+
+
+def test_user_signatures_and_classifier(spark, tmp_path):
+    (tmp_path / "sig.json").write_text('[{"id": "own-1", "name": "Own", "extension": "own", "magic": "de c0 ?? de", "offset": 0, "category": "mine"}, {"id": "own-2", "name": "Two", "extension": "x", "magic": "01", "offset": 4, "category": "mine", "default_size": 9}]')
+    assert tuple(commands.signature_summary(spark, str(tmp_path / "sig.json")).first()) == (2, 4) and commands.signature_summary(spark).first().signatures == 14
+    src = put(tmp_path, "in/a.img", bytes(50) + b"\xde\xc0\x07\xde" + bytes(50))
+    got = commands.scan(spark, [src], commands.Options(mode="deep"), signatures.from_json(spark, str(tmp_path / "sig.json")), classifier=lambda sig, data, hit: 1.0).collect()
+    assert [(r.sig, r.offset, r.extension) for r in got] == [("own-1", 50, "own")] and got[0].validation_score == pytest.approx(0.7 * 0.45 + 0.3)
+    (tmp_path / "bad.json").write_text('[{"id": "x", "name": "n", "extension": "e", "magic": "zz", "offset": 0, "category": "c"}]')
+    with pytest.raises(ValueError):
+        commands.signature_summary(spark, str(tmp_path / "bad.json"))
+
+
+def test_disk_extents_are_carved(spark, tmp_path):
+    put(tmp_path, "vm/disk-flat.img", bytes(2000) + bytes.fromhex("89504e470d0a1a0a") + bytes(100))
+    disk = put(tmp_path, "vm/disk.vmdk", b'# Disk DescriptorFile\ncreateType="monolithicFlat"\nRW 5 FLAT "disk-flat.img" 0\nRW 5 FLAT "gone.img" 0\n')
+    got = commands.scan(spark, [disk]).collect()
+    assert [(os.path.basename(r.source_path), r.container, r.offset, r.sig, r.length) for r in got] == [("disk-flat.img", "disk-flat.img", 2000, "sig-common-0003", 2108)]
+    assert got[0].evidence_path == disk
+
+
+def test_report_files(spark, tmp_path):
+    img = bytes(64) + bytes.fromhex("ffd8ffe0") + bytes(64)
+    put(tmp_path, "in/a.img", img)
+    put(tmp_path, "in/b.img", b"-FVE-FS-" + img)
+    put(tmp_path, "in/bad.zip", b"no zip")
+    report = commands.scan_report(spark, [str(tmp_path / "in")], str(tmp_path / "report"), commands.Options(synology=True, adapters="hybrid"))
+    head = report.head.first()
+    m = head.metadata
+    assert (m.quick_hits, m.deep_hits, m.container_hits, m.bytes_scanned, m.container_type) == (0, 2, 0, 2 * len(img) + 14, "archive")
+    assert m.volume_layers == ["physical", "raid_virtual", "encrypted_volume", "filesystem"] and m.adapter_capabilities[0] == "native-core:available:n/a" and len(m.adapter_capabilities) == 5
+    said = [r.warning for r in report.warnings.collect()]
+    assert sum("unavailable" in w for w in said) == 4 and any("3 file(s)" in w for w in said) and any("bitlocker" in w for w in said) and any("ZIP open failed" in w for w in said) and commands.SYNOLOGY in said
+    again = report_files.read(spark, str(tmp_path / "report"))
+    assert sorted(map(tuple, again.findings.collect())) == sorted(map(tuple, report.findings.collect())) and head.scan_id.startswith("scan-") and head.finished_at >= head.started_at
+    rows = report_files.top(again.findings, 1).collect()
+    assert [(os.path.basename(r.source_path), r.offset) for r in rows] == [("a.img", 64)] and report_files.find(again.findings, rows[0].id).count() == 1
+    with pytest.raises(ValueError):
+        commands.recover_report(spark, str(tmp_path / "report"), str(tmp_path / "out"), str(tmp_path / "log"))  # same device
+    done = commands.recover_report(spark, str(tmp_path / "report"), str(tmp_path / "out"), str(tmp_path / "log"), other_device=False).collect()
+    assert {r.state for r in done} == {"copied"} and len(done) == 2
+
+
+def test_merged_reports(spark, tmp_path):
+    def doc(k, findings, **more):
+        head = {"scan_id": f"s{k}", "started_at": f"2024-01-0{k}T00:00:00Z", "finished_at": f"2024-01-0{9 - k}T00:00:00Z", "source": f"/{k}", "sources": [f"/{k}", "/x"], "mode": "deep", "warnings": [f"w{k}"], "metadata": {"bytes_scanned": 10, "elapsed_ms": 5, "quick_hits": 1, "deep_hits": 2, "container_hits": 3, **more}}
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps({**head, "findings": findings}, indent=2))
+        return report_files.read(spark, str(path))
+
+    f = lambda id_, offset, container=None: {"id": id_, "display_name": "n", "extension": "e", "signature_id": "s", "source_path": "/a", "container_path": container, "offset": offset, "size": 1, "confidence": 0.5, "category": "c"}
+    a, b = doc(1, [f("1", 9), f("2", 3)]), doc(2, [f("3", 9, "in"), f("4", 1)], container_type="vmdk", volume_layers=["physical"])
+    merged = report_files.merge([a, b])
+    head = merged.head.first()
+    assert (head.scan_id, head.source, head.sources, head.metadata.bytes_scanned, head.metadata.container_hits, head.metadata.container_type, head.metadata.volume_layers) == ("s1-merged", "/1", ["/1", "/x", "/2"], 20, 6, "vmdk", ["physical"])
+    assert head.finished_at.day == 8 and head.started_at.day == 1 and {r.warning for r in merged.warnings.collect()} == {"w1", "w2"}
+    assert [r.id for r in merged.findings.collect()] == ["4", "2", "1"] and [r.id for r in report_files.merge([a, b], keep_containers=True).findings.collect()] == ["4", "2", "1", "3"]
+    one = a.findings.first()
+    assert (one.source_fingerprint, one.validation_score, one.encryption_state) == ("", 0.0, "unknown")
+    with pytest.raises(ValueError):
+        report_files.merge([])
+
+
+def test_audit_log(spark, tmp_path):
+    path = str(tmp_path / "audit.log")
+    for k in range(3):
+        audit.append(path, "unlock_request", {"targets": [f"/dev/é{k}"], "accepted": bool(k)}, key="k1" if k == 2 else None)
+    got = audit.check(spark, path).orderBy("seq").collect()
+    assert [(r.linked, r.hash_valid, r.signature_valid) for r in got] == [(True, True, True), (True, True, True), (True, True, False)]
+    assert audit.check(spark, path, "k1").orderBy("seq").collect()[2].signature_valid
+    lines = open(path, encoding="utf-8").read().split("\n")
+    lines[1] = lines[1].replace("é1", "é9")
+    open(path, "w", encoding="utf-8").write("\n".join([lines[0], "", *lines[1:]]))
+    got = audit.check(spark, path).orderBy("seq").collect()
+    assert [r.hash_valid for r in got] == [True, False, True] and all(r.linked for r in got)
+
+
+def test_progress_tracker():
+    told, now = [], [0.0]
+    t = progress.Tracker("carve", 200, told.append, lambda: now[0])
+    for size in (1, 1, 50, 100, 100):
+        now[0] += 1
+        t.add(size)
+    t.finish("done")
+    assert [(u.percent, u.processed_bytes, u.eta_seconds) for u in told] == [(1, 2, 198), (26, 52, 9), (76, 152, 1), (100, 200, 0), (100, 200, 0)]
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    feed = tmp_path / "feed"
+    for k in range(3):
+        spark.createDataFrame([("s", k * 100, bytearray(100))], "source_path string, chunk_start long, content binary").coalesce(1).write.mode("append").parquet(str(feed))
+    told = []
+    listener = progress.Listener(progress.Tracker("stream", 300, told.append))
+    spark.streams.addListener(listener)
+    try:
+        rows = progress.observed(spark.readStream.schema("source_path string, chunk_start long, content binary").option("maxFilesPerTrigger", 1).parquet(str(feed)))
+        query = rows.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        end = time.time() + 20
+        while (not told or told[-1].percent < 100) and time.time() < end:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert told[-1].percent == 100 and told[-1].processed_bytes == 300
+
+
+def test_syndrome_and_small_helpers(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"\x01\x02\x03\x04")), (1, bytearray(b"\x10\x20\x30\x40")), (2, bytearray(b"\xff" * 4)), (3, None)], "stripe long, content binary").repartition(3)
+    got = {r.stripe: bytes(r.syndrome) for r in raid.syndrome(rows, "stripe", 4).collect()}
+    assert got == {1: b"\x11\x22\x33\x44", 2: b"\xff" * 4, 3: bytes(4)}
+    with pytest.raises(ValueError):
+        raid.syndrome(rows, "stripe", 6)
+    assert raid.default_shr(4) == {"mode": "shr", "chunk_size": 65536, "disk_count": 4}
+    assert commands.source_key("A/b", True) == "a\\b" and commands.sources_of(["C:/x", "c:\\X"], windows=True) == ["C:/x"] and commands.raw_device("\\\\.\\PhysicalDrive0") and not commands.raw_device("/dev/sda")
+    assert commands.capabilities(spark).count() == 1 and commands.capabilities(spark, "external_preferred").count() == 6 and commands.file_systems(spark).where("parsed").count() == 1
+    with pytest.raises(ValueError):
+        commands.Options(unlock_with="x", detect_only=True).check()

@@ -52,7 +52,3 @@ def uuid5(namespace: str, name: Column) -> Column:
 def extension(name: Column) -> Column:
     """What follows the last dot; the whole name where there is none."""
     return F.element_at(F.split(name, r"\."), -1)
-
-
-def safe_name(name: Column) -> Column:
-    return F.regexp_replace(name, "[^A-Za-z0-9_-]", "_")

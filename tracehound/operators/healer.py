@@ -8,18 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracehound.operators.profiles import shannon
+
 # Window, what windows share, depth, limit of entropy, boot and superblock marks with what lies before them.
 WINDOW, SHARED, DEPTH, CIPHER = 4 << 20, 4096, 1 << 30, 7.9
 MARKS = [("ntfs", b"\xebR\x90NTFS ", 0), ("hfs_plus", b"H+\x00\x04", 1024), ("apfs", b"NXSB", 0), ("squashfs", b"hsqs", 0), ("tar", b"ustar", 257)]
 HEADERS = (65536, 131072)
 
 
-def entropy_of(data: bytes) -> float:
-    n = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    p = n[n > 0] / max(len(data), 1)
-    return float(-(p * np.log2(p)).sum())
-
-
 def found_in(data: bytes) -> tuple[str, int]:
     """What is found and where it begins.
 
@@ -31,7 +27,7 @@ def found_in(data: bytes) -> tuple[str, int]:
         return "vhdx_header", 0
     top, at = min(len(data), DEPTH), 0
     while at < top:
-        if entropy_of(data[at : at + SHARED]) > CIPHER:
+        if shannon(np.frombuffer(data[at : at + SHARED], np.uint8)) > CIPHER:
             at += SHARED
             continue
         for kind, mark, before in MARKS:

@@ -57,8 +57,3 @@ def classifier_score(entropy_bits: Column, ascii_share: Column, prior: Column) -
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     text = clamp(0.6 * ascii_share + 0.4 * (1 - F.abs(ascii_share - 0.45)))
     return clamp(0.55 * clamp(entropy_bits / 8) + 0.35 * text + prior)
-
-
-def confidence(structure: Column, learned: Column) -> Column:
-    v = F.least(F.greatest(0.7 * structure + 0.3 * learned, F.lit(0.0)), F.lit(1.0))
-    return F.round(F.least(0.62 + 0.38 * v, F.lit(0.99)), 2)

@@ -47,6 +47,40 @@ def rebuild(blocks: DataFrame, parity_rows: DataFrame, stripe: str, member: str,
     return left.join(parity_rows.select(stripe, "parity"), stripe).select(stripe, F.col("x").bitwiseXOR(F.col("parity")).alias("rebuilt"))
 
 
+def syndrome(stripes: DataFrame, group: str, size: int) -> DataFrame:
+    """group, syndrome: XOR of all stripes (content) of a group, size bytes each; shorter or null ones count as zeros behind.
+
+    Stripes are put together in each task first, so a group meets as one row a task.
+    """
+    if size < 4 or size % 4:
+        raise ValueError("a stripe has a multiple of four bytes")
+    kind = stripes.schema[group].dataType.simpleString()
+
+    def folded(keys: list, blocks: list) -> tuple[list, list[bytes]]:
+        held: dict = {}
+        for k, data in zip(keys, blocks):
+            x = np.frombuffer((data or b"")[:size].ljust(size, b"\0"), np.uint8)
+            held[k] = held[k] ^ x if k in held else x
+        return list(held), [x.tobytes() for x in held.values()]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, blocks = folded(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(blocks, pa.binary())], [group, "syndrome"])
+
+    def join(t: pa.Table) -> pa.Table:
+        keys, blocks = folded(t.column(0).to_pylist(), t.column(1).to_pylist())
+        return pa.table([pa.array(keys, t.schema.field(0).type), pa.array(blocks, pa.binary())], names=[group, "syndrome"])
+
+    parts = stripes.select(group, "content").mapInArrow(scan, f"{group} {kind}, syndrome binary")
+    return parts.groupBy(group).applyInArrow(join, f"{group} {kind}, syndrome binary")
+
+
+def default_shr(disks: int) -> dict:
+    """Layout taken for an array of the kind that says nothing of its own."""
+    return {"mode": "shr", "chunk_size": 64 << 10, "disk_count": disks}
+
+
 def parity_slot(stripe: Column, members: int, layout: str) -> Column:
     turn = F.pmod(stripe, F.lit(members))
     return turn if layout.startswith("right") else members - 1 - turn
@@ -141,6 +175,31 @@ def merged_span(mode: str, layout: str, stripe: int, first: int, held: list[byte
     return b"".join(out)
 
 
+def assembled(blocks: DataFrame, members: int, mode: str, stripe: int, layout: str = "left_symmetric", group: str | None = None) -> DataFrame:
+    """position, content of arrays' images, from rows (slot, chunk_start, content[, group]) of the members that are there.
+
+    All members of an array have chunks of the same starts, whole stripes long but for the last. The spans
+    that begin at one place are put together; in raid5 a slot without a chunk is rebuilt.
+    """
+    keys = [group] if group else []
+    there = blocks.select(*keys, "slot", "chunk_start", "content")
+    kinds = {c: blocks.schema[c].dataType.simpleString() for c in keys}
+    schema = ", ".join([*(f"{c} {t}" for c, t in kinds.items()), "position long, content binary"])
+    raid0 = mode == "raid0"
+
+    def put(key: tuple, table: pa.Table) -> pa.Table:
+        held: list[bytes | None] = [None] * members
+        at = key[-1].as_py()
+        for slot, data in zip(table["slot"].to_pylist(), table["content"].to_pylist()):
+            held[slot] = data
+        present = sum(x is not None for x in held)
+        factor = present if raid0 else 1 if mode == "raid1" else members - 1
+        cols = [*(pa.array([k.as_py()], k.type) for k in key[:-1]), pa.array([at * factor], pa.int64()), pa.array([merged_span(mode, layout, stripe, at // stripe, held)], pa.binary())]
+        return pa.table(cols, names=[*keys, "position", "content"])
+
+    return there.groupBy(*keys, "chunk_start").applyInArrow(put, schema)
+
+
 def image(spark: SparkSession, members: list[str | None], mode: str, stripe: int, layout: str = "left_symmetric") -> DataFrame:
     """position, content of the array's image. None is a missing member: left out in raid0, rebuilt in raid5 (one at most)."""
     there = [m for m in members if m]
@@ -154,18 +213,11 @@ def image(spark: SparkSession, members: list[str | None], mode: str, stripe: int
     least = sizes[0] if mode == "raid1" else min(sizes) if mode == "raid0" else min(sizes) // stripe * stripe
     read = there[:1] if mode == "raid1" else there
     span = stripe * max(1, -(-SPAN // stripe))
-    factor = {"raid0": len(there), "raid1": 1, "raid5": len(members) - 1}[mode]
     places = {os.path.realpath(m): k for k, m in enumerate(members) if m in read}
-
-    def put(key: tuple, table: pa.Table) -> pa.Table:
-        held: list[bytes | None] = [None] * len(members)
-        at = key[0].as_py()
-        for path, data in zip(table["source_path"].to_pylist(), table["content"].to_pylist()):
-            held[places[os.path.realpath(path)]] = data[: least - at]
-        return pa.table({"position": pa.array([at * factor], pa.int64()), "content": pa.array([merged_span(mode, layout, stripe, at // stripe, held)], pa.binary())})
-
-    rows = ranged.chunks(spark, read, span).where(F.col("chunk_start") < least)
-    return rows.groupBy("chunk_start").applyInArrow(put, "position long, content binary")
+    slot = F.create_map(*(F.lit(x) for p in places.items() for x in p))
+    rows = ranged.chunks(spark, [os.path.realpath(m) for m in read], span, stop=least).where(F.col("chunk_start") < least)
+    rows = rows.select(slot[F.col("source_path")].alias("slot"), "chunk_start", F.substring(F.col("content"), F.lit(1), (F.lit(least) - F.col("chunk_start")).cast("int")).alias("content"))
+    return assembled(rows, len(members), mode, stripe, layout)
 
 
 def reconstruct(spark: SparkSession, members: list[str | None], mode: str, stripe: int, output: str, layout: str = "left_symmetric") -> dict:

@@ -81,6 +81,21 @@ def plan(items: DataFrame, preserve: bool = False) -> DataFrame:
     return rows.join(first, "out_path").withColumn("dropped", col("manifest_key") != col("_key")).drop("_key").dropDuplicates(["manifest_key"])
 
 
+def with_manifest(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Planned rows with had, done, old_sha of the manifest's entry by key or, where older runs wrote it so, by id."""
+    old = known.select("manifest_key", F.col("bytes_written").alias("had"), F.col("completed").alias("done"), F.col("sha256").alias("old_sha"))
+    by_id = old.select(F.col("manifest_key").alias("id"), F.col("had").alias("had_i"), F.col("done").alias("done_i"), F.col("old_sha").alias("sha_i"))
+    both = rows.join(old, "manifest_key", "left").join(by_id.withColumnRenamed("id", "_id"), F.col("id").cast("string") == F.col("_id"), "left").drop("_id")
+    pick = lambda a, b: F.when(F.col("had").isNotNull() | F.col("done").isNotNull(), F.col(a)).otherwise(F.col(b)).alias(a)
+    return both.select(*rows.columns, pick("had", "had_i"), pick("done", "done_i"), pick("old_sha", "sha_i"))
+
+
+def digests(planned: DataFrame, evidence: DataFrame) -> DataFrame:
+    """planned rows (source_path, offset, expected) with the digest of the bytes that a recovery would write, from rows that hold whole sources."""
+    part = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("expected").cast("int"))
+    return planned.join(evidence.select("source_path", "content"), "source_path").withColumn("sha256", F.sha2(part, 256)).drop("content")
+
+
 def _copy(source: str, offset: int, size: int, path: str, start: int, buffer: int = BUFFER) -> tuple[int, str]:
     """Bytes written in all and their digest; what the file holds up to start stays."""
     digest, at = hashlib.sha256(), 0
@@ -110,11 +125,8 @@ def recover(items: DataFrame, dest: str, manifest: str, sources: list[str], over
     spark = items.sparkSession
     safe_destination(dest, sources)
     run = uuid.uuid4().hex
-    known = load_manifest(spark, manifest)
-    old = known.select("manifest_key", F.col("bytes_written").alias("had"), F.col("completed").alias("done"), F.col("sha256").alias("old_sha"))
-    by_id = old.select(F.col("manifest_key").alias("id"), F.col("had").alias("had_i"), F.col("done").alias("done_i"), F.col("old_sha").alias("sha_i"))
-    rows = plan(items, preserve).join(old, "manifest_key", "left").join(by_id, "id", "left")
-    rows = rows.select("manifest_key", "source_path", "offset", "expected", F.concat(F.lit(dest.rstrip("/") + "/"), "out_path").alias("out_path"), "dropped", F.coalesce("had", "had_i").alias("had"), F.coalesce("done", "done_i").alias("done"), F.coalesce("old_sha", "sha_i").alias("old_sha"))
+    rows = with_manifest(plan(items, preserve), load_manifest(spark, manifest))
+    rows = rows.select("manifest_key", "source_path", "offset", "expected", F.concat(F.lit(dest.rstrip("/") + "/"), "out_path").alias("out_path"), "dropped", "had", "done", "old_sha")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,4 +1,4 @@
-"""Findings: identity, overlay, order, merge; progress, audit chain and recovery plan."""
+"""Findings: identity, overlay, order, merge; progress and audit chain."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracehound.functions.binary import safe_name, uuid5
+from tracehound.functions.binary import uuid5
 
 NAMESPACE = "58f573f1-8a7a-4f77-b598-79db7d4f4ff2"
 GENESIS = "genesis"
@@ -60,15 +60,8 @@ def merge_reports(df: DataFrame, group: str, counters: list[str]) -> DataFrame:
     return df.groupBy(group).agg(*(F.sum(c).cast("long").alias(c) for c in counters), F.count("*").alias("reports"))
 
 
-def recovery_plan(items: DataFrame) -> DataFrame:
-    """manifest_key, out_path, expected for items (fp, container, offset, sig, id, name, extension, size, length).
-
-    An item beyond its source is left out; of items that would write one path the first by id stays
-    and the others are marked dropped.
-    """
-    fp = F.when(F.coalesce("fp", F.lit("")) == "", "unknown-source").otherwise(F.col("fp"))
-    key = F.concat_ws("|", fp, F.coalesce("container", F.lit("")), F.col("offset").cast("string"), "sig", "id")
-    name = safe_name(F.col("name"))
-    out = F.concat(name, F.lit("."), F.lower("extension"))
-    rows = items.where("offset < length and least(size, length - offset) > 0").select("id", key.alias("manifest_key"), out.alias("out_path"), F.least("size", F.col("length") - F.col("offset")).cast("long").alias("expected"))
-    return rows.withColumn("dropped", F.row_number().over(W.partitionBy("out_path").orderBy("id")) > 1)
+def eta(processed: Column, total: Column, elapsed: Column) -> Column:
+    """Seconds left at the rate so far; null where nothing is known of the rate."""
+    rate = processed / F.nullif(elapsed, F.lit(0))
+    left = F.greatest(F.greatest(total, F.lit(1)) - processed, F.lit(0))
+    return F.when(rate > 0, F.floor(left / rate + 0.5).cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from pyspark.sql import DataFrame
@@ -59,7 +61,11 @@ def samples(evidence: DataFrame, prior: float) -> DataFrame:
     return profiles._per_source(evidence, "source_path string, score double", lambda d: [(_sampled(d[:SAMPLE], prior),)])
 
 
-def blended(signature_id: str, data: bytes, hit: int, broad: bool = False) -> tuple[float, float]:
+#: What scores the bytes behind a match, 0 to 1: signature id, data, place of the match.
+Classifier = Callable[[str, bytes, int], float]
+
+
+def blended(signature_id: str, data: bytes, hit: int, broad: bool = False, classifier: Classifier = learned) -> tuple[float, float]:
     """Validation score and confidence."""
-    v = min(max(0.7 * structure(signature_id, data, hit, broad) + 0.3 * learned(signature_id, data, hit), 0), 1)
+    v = min(max(0.7 * structure(signature_id, data, hit, broad) + 0.3 * classifier(signature_id, data, hit), 0), 1)
     return v, round(min(0.62 + 0.38 * v, 0.99) + 1e-9, 2)

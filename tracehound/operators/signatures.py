@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracehound.operators.scoring import blended
+from tracehound.operators.scoring import Classifier, blended, learned
 
 SCHEMA = "id string, name string, extension string, magic string, offset long, category string, description string, default_size long"
 
@@ -90,31 +90,48 @@ def compiled(signatures: DataFrame) -> list[Compiled]:
     return table
 
 
-def matches(s: Compiled, data: bytes) -> Iterator[int]:
-    """Where the signature's magic lies in data."""
-    at = data.find(s.core)
-    while at >= 0:
-        hit = at - s.start
-        if hit >= 0 and hit + len(s.magic) <= len(data) and all(data[hit + k] == x for k, x in enumerate(s.magic) if s.mask[k]):
-            yield hit
-        at = data.find(s.core, at + 1)
+class Finder:
+    """Finds the matches of all signatures in one pass over the bytes."""
 
+    def __init__(self, table: list[Compiled]):
+        import ahocorasick
 
-def carve_chunks(parts: DataFrame, signatures: DataFrame, chunk: int, broad: bool = False) -> DataFrame:
+        by_core: dict[bytes, list[Compiled]] = {}
+        for s in table:
+            by_core.setdefault(s.core, []).append(s)
+        self.cores = ahocorasick.Automaton()
+        for core, own in by_core.items():
+            self.cores.add_word(core.decode("latin-1"), (len(core), own))
+        if by_core:
+            self.cores.make_automaton()
+
+    def matches(self, data: bytes) -> Iterator[tuple[Compiled, int]]:
+        """Each signature whose magic lies in data, and where."""
+        if not len(self.cores):
+            return
+        for last, (size, own) in self.cores.iter(data.decode("latin-1")):
+            for s in own:
+                hit = last + 1 - size - s.start
+                if hit >= 0 and hit + len(s.magic) <= len(data) and all(data[hit + k] == x for k, x in enumerate(s.magic) if s.mask[k]):
+                    yield s, hit
+
+
+def carve_chunks(parts: DataFrame, signatures: DataFrame, chunk: int, broad: bool = False, classifier: Classifier = learned) -> DataFrame:
     """Scored matches of (source_path, chunk_start, content): source_path, offset, signature_id, validation_score, confidence.
 
     content reaches beyond the chunk by the longest magic and what scores look at. A match belongs to
-    the chunk in which it begins, so none comes twice.
+    the chunk in which it begins, so none comes twice. classifier(signature_id, data, hit) gives the
+    learned part of the score.
     """
     table = compiled(signatures)
     kinds = {"source_path": pa.string(), "offset": pa.int64(), "signature_id": pa.string(), "validation_score": pa.float64(), "confidence": pa.float64()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Finder(table).matches
         for b in batches:
             rows = []
             for path, start, data in zip(*(c.to_pylist() for c in b.columns)):
-                for s in table:
-                    rows += [(path, start + hit - s.offset, s.id, *blended(s.id, data, hit, broad)) for hit in matches(s, data or b"") if hit < chunk and start + hit >= s.offset]
+                rows += [(path, start + hit - s.offset, s.id, *blended(s.id, data, hit, broad, classifier)) for s, hit in find(data or b"") if hit < chunk and start + hit >= s.offset]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], list(kinds))
 
     return parts.select("source_path", "chunk_start", "content").mapInArrow(scan, "source_path string, offset long, signature_id string, validation_score double, confidence double")
@@ -129,11 +146,11 @@ def positions(evidence: DataFrame, signatures: DataFrame, carry: str = "source_p
     table = compiled(signatures)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Finder(table).matches
         for b in batches:
             rows: list[tuple] = []
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                data = data or b""
-                rows += [(path, hit, hit - s.offset, s.id) for s in table for hit in matches(s, data) if hit >= s.offset]
+                rows += [(path, hit, hit - s.offset, s.id) for s, hit in find(data or b"") if hit >= s.offset]
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()))], [carry, "hit", "offset", "signature_id"])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracehound.functions import binary
 from tracehound.operators import containers, healer, markers, profiles, raid, recovery, reports, scoring, signatures
 from tracehound.sources import evidence
+from tracehound.streaming import carry
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,7 +205,8 @@ def audit_chain(spark, sf_dir):
 
 @_query("SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def latest_shard(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    events = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    return carry.latest_by_key(events, None, "user_id", ["ts", "event_id"]).select("user_id", "value")
 
 
 @_query("SELECT d.doc_id, l.doc_id IS NOT NULL AS encrypted, CASE WHEN l.doc_id IS NOT NULL THEN 'encrypted_detected' ELSE 'unencrypted' END AS encryption_state FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
@@ -232,13 +234,17 @@ def recover_plan(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
     lit = lambda x: F.lit(x)
     items = d.select(F.col("doc_id").alias("id"), F.col("source").alias("fp"), lit(None).cast("string").alias("container"), (F.col("doc_id") % 50 * 40).alias("offset"), F.col("n_chars").alias("length"), F.concat_ws(".", "lang", F.col("doc_id") % 40).alias("name"), lit("JPG").alias("extension"), lit("sig").alias("sig"), lit(1000).cast("long").alias("size"))
-    return reports.recovery_plan(items)
+    items = items.withColumns({"hint": lit(None).cast("string"), "source_path": F.col("fp")})
+    return recovery.plan(items).select("id", "manifest_key", "out_path", "expected", "dropped")
 
 
 @_query("SELECT 'documents/' || doc_id AS source_path, sha256(unhex(substr(hex(encode(text)), 33, 256))) AS sha256 FROM documents WHERE octet_length(encode(text)) > 16")
 def recover_sha256(spark, sf_dir):
-    d = _documents(spark, sf_dir).where(F.octet_length("content") > 16)
-    return d.select("source_path", F.sha2(F.substring("content", 17, 128), 256).alias("sha256"))
+    """Digests of a planned recovery: 128 bytes from byte 16 on of each document that has as many."""
+    d = _documents(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    items = d.select(F.col("source_path").alias("id"), "source_path", none.alias("fp"), none.alias("container"), none.alias("hint"), F.lit(16).cast("long").alias("offset"), F.lit(128).cast("long").alias("size"), F.octet_length("content").cast("long").alias("length"), F.lit("sig").alias("sig"), F.col("source_path").alias("name"), F.lit("bin").alias("extension"))
+    return recovery.digests(recovery.plan(items), d).select("source_path", "sha256")
 
 
 @_query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -17,12 +16,6 @@ def from_text(df: DataFrame, prefix: str, key: str, text: str) -> DataFrame:
     return df.select(F.concat(F.lit(prefix + "/"), F.col(key)).alias("source_path"), F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("content"))
 
 
-def normalize_roots(roots: DataFrame) -> DataFrame:
-    """First of each trimmed, non-empty root by position: (pos, root)."""
-    rows = roots.select("pos", F.btrim("root").alias("root")).where("root != ''")
-    return rows.withColumn("k", F.row_number().over(W.partitionBy("root").orderBy("pos"))).where("k = 1").drop("k")
-
-
 def chunk_ranges(df: DataFrame, length: str, chunk: int, overlap: int) -> DataFrame:
     """A row for each chunk: chunk_start, chunk_end (with overlap, within the length). Empty sources have none."""
     n = F.col(length)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tracehound.operators.signatures import compiled, matches
+from tracehound.operators.signatures import Finder, compiled
 
 STATE = "carry binary, next_offset long"
 HITS = "source_path string, hit long, offset long, signature_id string"
@@ -25,6 +25,7 @@ def carve_stream(parts: DataFrame, signatures: DataFrame) -> DataFrame:
     tail = max((len(s.magic) for s in table), default=1) - 1
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        find = Finder(table).matches
         carry, after = (bytes(state.get[0]), state.get[1]) if state.exists else (b"", 0)
         rows = sorted(((int(s), bytes(c)) for f in frames for s, c in zip(f["chunk_start"], f["content"]) if c is not None), key=lambda x: (x[0], -len(x[1])))
         out: list[tuple] = []
@@ -35,7 +36,7 @@ def carve_stream(parts: DataFrame, signatures: DataFrame) -> DataFrame:
             if not data:
                 continue
             base, held = after - len(carry), carry + data
-            out += [(key[0], base + hit, base + hit - s.offset, s.id) for s in table for hit in matches(s, held) if hit + len(s.magic) > len(carry) and base + hit >= s.offset]
+            out += [(key[0], base + hit, base + hit - s.offset, s.id) for s, hit in find(held) if hit + len(s.magic) > len(carry) and base + hit >= s.offset]
             after += len(data)
             carry = held[len(held) - min(tail, len(held)) :]
         state.update((carry, after))
