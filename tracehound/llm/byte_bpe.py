@@ -21,7 +21,9 @@ from .common import arrow_rows
 from .pieces import PieceTable, flat_ids, gathered, take_runs
 
 #: Strings that are pre-tokenized at once.
-PRE_TOKENIZED = 1 << 14
+PRE_TOKENIZED = 1 << 13
+#: Bytes of text that are cut into pieces at once; in a pipeline the worker stands beside a full heap.
+BLOCK = 4 << 20
 #: Characters that stand for the bytes 0-255: one block of letters without white space or marks.
 BYTE_BASE = 0x4E00
 
@@ -80,7 +82,7 @@ class ByteBpe:
         self.ranks = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.ranks))
         self.find = regex.compile(pattern).findall
-        self.table, self.usable = PieceTable(self.encode), pattern == SPACED_PATTERN
+        self.table, self.usable = PieceTable(self.encode, limit=100_000), pattern == SPACED_PATTERN
         tokens = [b for _, b in sorted((r, b) for b, r in self.ranks.items())]
         self.bytes = self._flat(tokens)
         self.decimal = self._flat([b"%d," % i for i in range(len(tokens))])
@@ -133,13 +135,22 @@ def opened(path: str, pattern: str) -> ByteBpe:
     return _OPEN[path, pattern]
 
 
+def closed() -> None:
+    """Gives a worker's memory back: the next task may be another operator's, beside a full heap."""
+    _OPEN.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBpe) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
     """Column 0 and the ids of column 1, some rows at a time."""
-    for b in gathered(batches):
-        ids = bpe.ids(b.column(1))
-        for a in range(0, b.num_rows, 256):
-            part = b.column(0)[a : a + 256]
-            yield part, list(islice(ids, len(part)))
+    try:
+        for b in gathered(batches, limit=BLOCK):
+            ids = bpe.ids(b.column(1))
+            for a in range(0, b.num_rows, 256):
+                part = b.column(0)[a : a + 256]
+                yield part, list(islice(ids, len(part)))
+    finally:
+        closed()
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

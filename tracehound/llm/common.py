@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes handed to Python at once; with very long texts the default of 10,000 rows doesn't fit a worker.
-ARROW_ROWS, ARROW_BYTES = "2048", str(2 << 20)
+ARROW_ROWS, ARROW_BYTES = "2048", str(1 << 20)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -28,6 +28,7 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = BL
         if size >= limit:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held, size = [], 0
+            pa.default_memory_pool().release_unused()  # the worker may go on with another operator
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
