@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontaminate, jaccard, quality, repeats, secrets, token_count, token_store, wrappers
+from . import byte_bpe, chat, decontaminate, jaccard, oracles, quality, repeats, secrets, token_count, token_store, wrappers
 from .common import table
 
 
@@ -52,4 +52,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_html_text, op3_token_store, op4_jaccard_join, op5_decontaminate, op6_secret_scan, op7_token_counts, op8_chat_format, op9_byte_bpe, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
