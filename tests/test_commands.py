@@ -332,3 +332,23 @@ def test_syndrome_and_small_helpers(spark):
     assert commands.capabilities(spark).count() == 1 and commands.capabilities(spark, "external_preferred").count() == 6 and commands.file_systems(spark).where("parsed").count() == 1
     with pytest.raises(ValueError):
         commands.Options(unlock_with="x", detect_only=True).check()
+
+
+def test_large_containers_are_not_read_whole(spark, tmp_path):
+    """A sparse disk image of 3 GiB: more than a row can hold."""
+    big = put(tmp_path, "in/big.qcow2", b"QFI\xfb" + struct.pack(">I", 3) + bytes(16) + struct.pack(">Q", 1 << 40) + bytes(40))
+    os.truncate(big, 3 << 30)
+    foot = put(tmp_path, "in/disk.vhd", b"")
+    os.truncate(foot, (3 << 30) - 512)
+    with open(foot, "ab") as f:
+        f.write(b"conectix" + bytes(504))
+    got = {os.path.basename(r.source_path): (r.kind, r.name, r.size, r.error) for r in commands.mount(spark, str(tmp_path / "in")).collect()}
+    assert got == {"big.qcow2": ("qcow2", "big.qcow2", 1 << 40, None), "disk.vhd": ("vhd", "disk.vhd", 3 << 30, None)}
+    hidden = put(tmp_path, "heal/x.vhdx", b"")
+    os.truncate(hidden, 5 << 20)
+    with open(hidden, "r+b") as f:
+        f.seek((4 << 20) + 100)
+        f.write(b"NXSB")
+    os.truncate(hidden, 3 << 30)
+    healed = commands.mount(spark, hidden, heal=True).collect()
+    assert [(r.kind, r.name, r.offset) for r in healed] == [("healed", "apfs", (4 << 20) + 100)]

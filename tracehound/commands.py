@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracehound.functions.binary import hex_line
 from tracehound.operators import containers, healer, markers, raid, recovery, report_files, reports, signatures
 from tracehound.operators.scoring import REACH, Classifier, learned
-from tracehound.sources import evidence, ranged
+from tracehound.sources import ranged
 
 # File systems known by name, warnings, tools that other engines ask, prefixes of raw devices.
 FILE_SYSTEMS = ["ntfs", "refs", "ext4", "btrfs", "apfs", "hfs_plus", "xfs", "zfs"]
@@ -81,11 +81,6 @@ def _about(spark: SparkSession, files: list[str]) -> DataFrame:
     return df.withColumn("fp", reports.fingerprint(F.col("source_path"), F.col("length"), F.col("mtime")))
 
 
-def _ends(spark: SparkSession, files: list[str]) -> DataFrame:
-    """source_path, content: the first MiB of each file, enough for marks at the start. Nothing else is read."""
-    return ranged.chunks(spark, files, 1 << 20, stop=1 << 20).select("source_path", "content")
-
-
 _SHAPE = ["source_path", "container", "outer", "offset", "size", "sig", "name", "extension", "category", "validation_score", "confidence", "extent_length", "branch"]
 
 
@@ -132,7 +127,7 @@ def _branches(spark: SparkSession, files: list[str], options: Options, known: Da
         parts.append(quick.withColumns({"container": _null(), "outer": _null(), "extent_length": _null().cast("long"), "branch": F.lit("quick")}))
     entries = None
     if options.containers:
-        entries = containers.mount(evidence.files(spark, *files).select("source_path", "content"), options.strict_containers)
+        entries = containers.mount_files(ranged.rows_of(spark, files), options.strict_containers)
         held = entries.where("error is null and kind != 'vmdk'")
         vpk = F.col("kind") == "vpk"
         pick = lambda a, b: F.when(vpk, a).otherwise(b)
@@ -172,7 +167,8 @@ def _finished(hits: DataFrame, about: DataFrame, marked: DataFrame, options: Opt
 
 
 def _marked(spark: SparkSession, files: list[str]) -> DataFrame:
-    return _ends(spark, files).select("source_path", markers.encryption(F.col("content"), F.col("source_path")).alias("m")).where("m != 'none'")
+    ends = ranged.edges(ranged.rows_of(spark, files), markers.LOOKED_AT, 0)
+    return ends.select("source_path", markers.encryption(F.col("content"), F.col("source_path")).alias("m")).where("m != 'none'")
 
 
 def scan(spark: SparkSession, sources: list[str], options: Options = Options(), extra: DataFrame | None = None, classifier: Classifier = learned) -> DataFrame:
@@ -235,14 +231,14 @@ def scan_report(spark: SparkSession, sources: list[str], path: str, options: Opt
 
 def mount(spark: SparkSession, path: str, strict: bool = False, heal: bool = False) -> DataFrame:
     """Entries of a container; heal: what is left of one that can't be read or isn't known."""
-    content = evidence.files(spark, path).select("source_path", "content")
-    listed = containers.mount(content, strict and not heal)
+    files = ranged.rows_of(spark, ranged.regular_files(path))
+    listed = containers.mount_files(files, strict and not heal)
     if not heal:
         return listed
     good = listed.where("error is null")
-    rest = content.join(good.select("source_path").distinct(), "source_path", "left_anti")
+    rest = files.join(good.select("source_path").distinct(), "source_path", "left_anti")
     null = F.lit(None).cast("string")
-    healed = healer.heal(rest).select("source_path", F.lit("healed").alias("kind"), F.when(F.col("found") == "vhdx_header", "vhdx_redundant_recovery.raw").otherwise(F.col("found")).alias("name"), "offset", "size", F.lit(False).alias("encrypted"), null.alias("error"))
+    healed = healer.heal_files(rest).select("source_path", F.lit("healed").alias("kind"), F.when(F.col("found") == "vhdx_header", "vhdx_redundant_recovery.raw").otherwise(F.col("found")).alias("name"), "offset", "size", F.lit(False).alias("encrypted"), null.alias("error"))
     return good.unionByName(healed)
 
 

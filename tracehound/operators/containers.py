@@ -7,41 +7,51 @@ import ntpath
 import struct
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracehound.operators import markers
+from tracehound.sources import ranged
 
 Entry = tuple[str, int, int, bool]
+#: Bytes of a disk descriptor that are read at most, and of a file's two ends that tell its kind.
+DESCRIPTOR, HEAD, TAIL = 1 << 20, 4096, 512
 
 
-def _zip(data: bytes) -> list[Entry]:
+def _at(f: BinaryIO, offset: int, size: int) -> bytes:
+    f.seek(offset)
+    return f.read(size)
+
+
+def _zip(f: BinaryIO) -> list[Entry]:
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
+        with zipfile.ZipFile(f) as z:
             out = []
             for i in z.infolist():
-                name, extra = struct.unpack_from("<HH", data, i.header_offset + 26)
+                name, extra = struct.unpack("<HH", _at(f, i.header_offset + 26, 4))
                 out.append((i.filename, i.header_offset + 30 + name + extra, i.file_size, bool(i.flag_bits & 1)))
             return out
     except (zipfile.BadZipFile, struct.error) as e:
         raise ValueError(f"ZIP open failed: {e}") from e
 
 
-def _tar(data: bytes) -> list[Entry]:
-    with tarfile.open(fileobj=io.BytesIO(data)) as t:
-        return [(m.name, 0, m.size, False) for m in t.getmembers() if m.isfile()]
+def _tar(f: BinaryIO) -> list[Entry]:
+    with tarfile.open(fileobj=f, mode="r:") as t:
+        return [(m.name, 0, m.size, False) for m in t if m.isfile()]
 
 
-def _vpk(data: bytes) -> list[Entry]:
+def _vpk(f: BinaryIO) -> list[Entry]:
     """Directory tree: extension, folder, name, each NUL-terminated and ended by an empty one."""
-    version, tree = struct.unpack_from("<II", data, 4)
+    version, tree = struct.unpack("<II", _at(f, 4, 8))
     if version not in (1, 2):
         raise ValueError(f"VPK version {version}")
-    at = 12 if version == 1 else 28
-    end = at + tree
+    begin = 12 if version == 1 else 28
+    end = begin + tree
+    data, at = _at(f, begin, tree), 0
     out: list[Entry] = []
 
     def word() -> str:
@@ -63,9 +73,10 @@ def _vpk(data: bytes) -> list[Entry]:
     return out
 
 
-def _vmdk(data: bytes, path: str) -> list[Entry]:
+def _vmdk(f: BinaryIO, size: int, path: str) -> list[Entry]:
+    data = _at(f, 0, DESCRIPTOR)
     if data[:4] == b"KDMV":
-        return [(ntpath.basename(path), 0, len(data), False)]
+        return [(ntpath.basename(path), 0, size, False)]
     text = data.decode("utf-8", "replace")
     if "Disk DescriptorFile" not in text and "createType" not in text:
         raise ValueError("VMDK descriptor not found")
@@ -75,56 +86,76 @@ def _vmdk(data: bytes, path: str) -> list[Entry]:
         if len(r) == 4 and r[1].isdigit():
             name = r[3].split()[0].replace("\\", "").strip('"')
             out.append((name, 0, int(r[1]) * 512, False))
-    return out or [(ntpath.basename(path), 0, len(data), False)]
+    return out or [(ntpath.basename(path), 0, size, False)]
+
 
+def list_entries(kind: str, f: BinaryIO, size: int, path: str) -> list[Entry]:
+    """(name, offset, size, encrypted) of a container; raises ValueError if it can't be read.
 
-def list_entries(kind: str, data: bytes, path: str) -> list[Entry]:
-    """(name, offset, size, encrypted) of a container; raises ValueError if it can't be read."""
+    Only directories and headers are read, so a container may be of any size.
+    """
     whole = ntpath.basename(path.replace("/", "\\"))
     try:
         if kind == "archive" and path.lower().endswith(".zip"):
-            return _zip(data)
+            return _zip(f)
         if kind == "ova" or kind == "archive" and path.lower().endswith(".tar"):
-            return _tar(data)
+            return _tar(f)
         if kind == "vpk":
-            return _vpk(data)
+            return _vpk(f)
         if kind == "vmdk":
-            return _vmdk(data, path)
+            return _vmdk(f, size, path)
         if kind == "qcow2":
-            if len(data) < 72 or data[:4] != b"QFI\xfb":
+            head = _at(f, 0, 72)
+            if len(head) < 72 or head[:4] != b"QFI\xfb":
                 raise ValueError("QCOW2 header not found")
-            return [(whole, 0, max(struct.unpack_from(">Q", data, 24)[0], len(data)), False)]
-        if kind == "vhdx" and (len(data) < 4096 or data[:8] != b"vhdxfile"):
+            return [(whole, 0, max(struct.unpack_from(">Q", head, 24)[0], size), False)]
+        if kind == "vhdx" and (size < 4096 or _at(f, 0, 8) != b"vhdxfile"):
             raise ValueError("VHDX header not found")
-        if kind == "vhd" and data[-512:-504] != b"conectix":
+        if kind == "vhd" and (size < 512 or _at(f, size - 512, 8) != b"conectix"):
             raise ValueError("VHD footer not found")
     except (struct.error, tarfile.TarError, IndexError, UnicodeDecodeError) as e:
         raise ValueError(f"{kind}: {e}") from e
-    return [(whole, 0, len(data), False)]
+    return [(whole, 0, size, False)]
 
 
-def mount(evidence: DataFrame, strict: bool = False) -> DataFrame:
-    """source_path, kind, name, offset, size, encrypted, error: entries of each container.
+_LISTED = "source_path string, kind string, name string, offset long, size long, encrypted boolean, error string"
 
-    Sources of unknown kind have no rows. What can't be read is one row with error set, or ends the
-    job if strict.
-    """
-    rows = evidence.select("source_path", "content", markers.container(F.col("content"), F.col("source_path")).alias("kind")).where("kind != 'unknown'")
+
+def _listed(rows: DataFrame, strict: bool, opened: Callable) -> DataFrame:
+    """Entries of rows (source_path, a second column that opened() turns into a file, kind)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for path, data, kind in zip(*(c.to_pylist() for c in b.columns)):
+            for path, what, kind in zip(*(c.to_pylist() for c in b.columns)):
                 try:
-                    out += [(path, kind, *e, None) for e in list_entries(kind, data, path)]
-                except ValueError as e:
+                    with opened(path, what) as f:
+                        out += [(path, kind, *e, None) for e in list_entries(kind, f, f.seek(0, io.SEEK_END), path)]
+                except (ValueError, OSError) as e:
                     if strict:
                         raise
                     out.append((path, kind, None, None, None, None, f"Container parse skipped: {e}"))
             kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, kinds)], ["source_path", "kind", "name", "offset", "size", "encrypted", "error"])
 
-    return rows.mapInArrow(scan, "source_path string, kind string, name string, offset long, size long, encrypted boolean, error string")
+    return rows.mapInArrow(scan, _LISTED)
+
+
+def mount(evidence: DataFrame, strict: bool = False) -> DataFrame:
+    """source_path, kind, name, offset, size, encrypted, error: entries of each container, from rows with whole contents.
+
+    Sources of unknown kind have no rows. What can't be read is one row with error set, or ends the
+    job if strict.
+    """
+    rows = evidence.select("source_path", "content", markers.container(F.col("content"), F.col("source_path")).alias("kind")).where("kind != 'unknown'")
+    return _listed(rows, strict, lambda path, data: io.BytesIO(data))
+
+
+def mount_files(files: DataFrame, strict: bool = False) -> DataFrame:
+    """mount() of files (source_path) that executors open themselves; no file is read whole."""
+    ends = ranged.edges(files, HEAD, TAIL)
+    rows = ends.select("source_path", "length", markers.container(F.col("content"), F.col("source_path")).alias("kind")).where("kind != 'unknown'")
+    return _listed(rows, strict, lambda path, _: open(path, "rb"))
 
 
 def samples(spark: SparkSession) -> DataFrame:

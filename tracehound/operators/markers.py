@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from tracehound.functions.binary import int_le, latin1
 
 
+#: Bytes of a source that encryption() looks at.
+LOOKED_AT = 8192
+
+
 def encryption(content: Column, path: Column) -> Column:
     """bitlocker, luks, filevault, keyfile or none, by the first 8192 bytes and the name."""
-    head = F.substring(content, 1, 8192)
+    head = F.substring(content, 1, LOOKED_AT)
     low = F.lower(latin1(head))
     return (
         F.when(F.contains(head, F.lit(b"-FVE-FS-")), "bitlocker")

@@ -139,6 +139,31 @@ def read_ranges(files: DataFrame, chunk: int = 8 << 20, overlap: int = 0) -> Dat
     return rows.mapInArrow(read, "source_path string, length long, chunk_start long, content binary")
 
 
+def edges(files: DataFrame, head: int, tail: int) -> DataFrame:
+    """source_path, length, content (the first head and the last tail bytes; the whole of smaller files), read where the rows are."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths, sizes, parts = b.column(0).to_pylist(), [], []
+            for path in paths:
+                size = size_of(path)
+                with open(path, "rb") as f:
+                    data = f.read(head if size > head + tail else size)
+                    if size > head + tail:
+                        f.seek(size - tail)
+                        data += f.read(tail)
+                sizes.append(size)
+                parts.append(data)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["source_path", "length", "content"])
+
+    return files.select("source_path").mapInArrow(read, "source_path string, length long, content binary")
+
+
+def rows_of(spark: SparkSession, files: list[str]) -> DataFrame:
+    """The files as rows (source_path), dealt out so that executors share the reading."""
+    return spark.createDataFrame([(f,) for f in files], "source_path string").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
+
+
 def block(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
     """length bytes of a file at offset, fewer at its end."""
     if offset < 0 or not 0 <= length <= MAX_BLOCK:
