@@ -65,3 +65,30 @@ def test_parts_and_empty(spark, monkeypatch):
     monkeypatch.setattr(dc, "INDEX_BYTES", 4000)
     assert {(r.doc_id, r.item_id) for r in dc.find_leaks(d, i).collect()} >= {w for w in want if w[0] != 501}
     assert dc.find_leaks(d, i.limit(0)).count() == 0 and dc.find_leaks(d.limit(0), i).count() == 0 and dc.without_leaks(d, i.limit(0)).count() == len(docs)
+
+
+def test_verify_against_counting():
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 30))) + ". " + " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 6))) + ".") for i in range(40)]
+    own = [(i, t, dc.item_words(t)) for i, t in items]
+    df = Counter(x for _, _, w in own for x in set(w))
+    limits = dc.Limits(overlap=0.7, pieces=0.3)
+    index = dc.Index(own, df, len(own), 15.0, limits)
+    seen = Counter()
+    for k, (_, words, cut) in enumerate(index.items):
+        for _ in range(30):
+            passage = list(words)
+            for _ in range(rng.randint(0, len(words) // 2)):
+                passage[rng.randrange(len(passage))] = rng.choice(vocab)
+            passage = [rng.choice(vocab)] * rng.randint(0, 3) + passage
+            rng.random() < 0.2 and rng.shuffle(passage)
+            share = lambda part: sum((Counter(part) & Counter(passage)).values()) / len(part)
+            threes = lambda w: Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+            pieces = sum((threes(words) & threes(passage)).values()) / (len(words) - 2)
+            both = share(words[:cut]), share(words[cut:])
+            want = both if min(both) >= 0.7 and pieces >= 0.3 else None
+            got = index.verify(k, dc.np.array([index.vocab[w] for w in passage]))
+            assert got == want if want is None else got == pytest.approx(want)
+            seen[want is None] += 1
+    assert min(seen.values()) > 50
