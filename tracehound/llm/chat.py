@@ -42,7 +42,7 @@ def unescape(c: Column, table=ESCAPES) -> Column:
 
 
 def turn_tokens(role: Column, text: Column) -> Column:
-    """Upper estimate of a turn's tokens: one for every three bytes, and the markers'."""
+    """Estimate of a turn's tokens: one for every three bytes, and the markers'. Budgets count these, not a tokenizer's."""
     return (F.ceil((F.octet_length(text) + F.octet_length(role)) / 3) + 6).cast("long")
 
 
@@ -66,12 +66,13 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     """conv_id, window, formatted, context (turns repeated before the window's own), mask (start, length).
 
     conversations: conv_id, turn, role, text, by turn (equal turns by role, then text; null turns
-    first; null text or role: empty). Windows keep to the budget unless a single turn, or the system
-    turn, is more than half of what is left for turns of its own. mask counts characters of formatted.
+    first; null text or role: empty). Windows keep to the budget (of estimated tokens) unless a single
+    turn, or the system turn, is more than half of what is left for turns of its own. mask counts
+    characters of formatted. Equal rows are turns of their own, an empty table gives no window.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("tokens", turn_tokens(F.col("role"), F.col("text")))
-    rows = _numbered(turns)
+    rows = written(_numbered(turns), "turns")
     first = rows.where((F.col("place") == 0) & (F.col("role") == SYSTEM)).select(F.col("conv_id").alias("sc"), F.col("text").alias("system"), F.col("tokens").alias("sys_tokens"))
     rows = rows.join(first, rows.conv_id.eqNullSafe(first.sc), "left").drop("sc")
     stride = F.greatest(F.floor((F.lit(budget - history) - F.coalesce("sys_tokens", F.lit(0))) / 2), F.lit(1)).cast("long")

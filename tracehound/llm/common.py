@@ -13,9 +13,11 @@ ARROW_ROWS, ARROW_BYTES = "2048", str(1 << 20)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and all run on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tracehound-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
