@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, uid_of, written
+from .common import arrow_rows, released, uid_of, written
 
 WIDTH, GRAM, STEP = 200, 32, 16
 #: Suffixes handled at once; bounds a worker's memory for texts of any length.
@@ -212,10 +212,11 @@ def _suffixes(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def repeated_ranges(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """uid, first, last: byte ranges that repeated strings of width bytes cover (they may overlap)."""
     cover = lambda first, n: [F.col("uid"), first.alias("first"), (first + n + width - 1).alias("last")]
-    runs = _first_pass(rows, width, gram)
+    runs = written(_first_pass(rows, width, gram), "first")  # counted, and then joined with the counts
     digits = runs.groupBy("digit").agg(F.count("*").alias("c"), F.min("place").alias("lo"), F.max("place").alias("hi")).where("c > 1")
     digits = written(digits.select("digit", (F.col("lo") != F.col("hi")).alias("doubt")), "digits")  # a table of its own lets Spark split hot digits in the join
     shared = written(runs.join(digits, "digit"), "runs")
+    released(runs, digits)
     first, n = F.shiftright("run", 20), F.shiftright("run", 10).bitwiseAND(1023)
     sure = shared.where("not doubt").select(*cover(first, n))
     doubt = shared.where("doubt")
