@@ -228,8 +228,9 @@ def _degrees(sets: DataFrame, percent: int) -> DataFrame:
                     total[right[near]] += copies[k]
         return pa.table({"uid": t.column("uid"), "d": pa.array(total)})
 
-    many = sets.groupBy("comp").agg(F.ceil(F.sum(F.length("items")) / BLOCK).alias("blocks"))
-    dealt = sets.join(many, "comp").withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
+    many = written(sets.groupBy("comp").agg(F.ceil(F.sum(F.length("items")) / BLOCK).alias("blocks")).where("blocks > 1"), "many")
+    large = F.broadcast(many) if many.count() <= BROADCAST_KEYS else many
+    dealt = sets.join(large, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "block", "copies", "items")
     found = cells.groupBy("comp", "i", "j").applyInArrow(cell, "uid long, d long")
