@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,14 +15,38 @@ from .common import arrow_rows
 from .pieces import gathered
 from .token_store import library_table
 
-CHUNK, OVERLAP = 1 << 15, 1 << 9
+CHUNK, OVERLAP = 1 << 14, 1 << 9
 _OFFSETS: dict[str, Callable] = {}
 
-Token = tuple[int, int, int]
 
+class Tokens:
+    """The tokens of a chunk that begins at `base` of its text; only those places are asked for that a splice looks at."""
 
-def spliced(encode: Callable[[str], list[Token]], text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Ids of text from chunk encodings [(id, start, end)].
+    def __init__(self, encoding, base: int = 0):
+        self.ids, self.place, self.base = encoding.ids, encoding.token_to_chars, base
+
+    def moved(self, base: int) -> Tokens:
+        self.base = base
+        return self
+
+    def start(self, k: int) -> int:
+        return self.place(k)[0] + self.base
+
+    def first(self, place: int) -> int:
+        """Index of the first token that begins at place or later."""
+        return bisect_left(range(len(self.ids)), place, key=self.start)
+
+    def between(self, low: int, high: int) -> list[int]:
+        """Ids of the tokens that begin at low to high - 1."""
+        return self.ids[self.first(low) : self.first(high)]
+
+    def placed(self, low: int, high: int) -> list[tuple[int, int, int]]:
+        """(id, start, end) of the tokens that begin at low to high - 1."""
+        return [(self.ids[k], *(x + self.base for x in self.place(k))) for k in range(self.first(low), self.first(high))]
+
+
+def spliced(encode: Callable[[str], Tokens], text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Ids of text from chunk encodings.
 
     A splice point is a token start that both chunks have, right after a white space character
     (there the pre-tokenizer always cuts, so neither side depends on the other), with equal tokens
@@ -36,47 +61,43 @@ def spliced(encode: Callable[[str], list[Token]], text: str, chunk: int = CHUNK,
         while True:
             if width >= end - max(left, at):
                 end = min(len(text), end + (end - left))
-                cur = [(i, a + left, b + left) for i, a, b in encode(text[left:end])]
+                cur = encode(text[left:end]).moved(left)
                 if end == len(text):
                     break
                 width = overlap
                 continue
             start = end - width
             stop = min(len(text), start + chunk)
-            nxt = [(i, a + start, b + start) for i, a, b in encode(text[start:stop])]
+            nxt = encode(text[start:stop]).moved(start)
             cut = _common(cur, nxt, text, max(start, at) + 1, end)
             if cut is not None:
-                out += [i for i, a, _ in cur if at <= a < cut]
+                out += cur.between(at, cut)
                 left, end, cur, at = start, stop, nxt, cut
                 break
             width *= 2
-        if end == len(text):
-            break
-    return out + [i for i, a, _ in cur if a >= at]
+    return out + cur.between(at, len(text) + 1)
 
 
-def _common(cur: list[Token], nxt: list[Token], text: str, low: int, end: int) -> int | None:
+def _common(cur: Tokens, nxt: Tokens, text: str, low: int, end: int) -> int | None:
     """First agreed token start from low on that follows white space."""
-    last = max((k for k in range(low, end) if text[k].isspace()), default=None)  # the left chunk knows all tokens before it
+    last = next((k for k in range(end - 1, low - 1, -1) if text[k].isspace()), None)  # the left chunk knows all tokens before it
     if last is None:
         return None
-    mine = [t for t in cur if low <= t[1] < last]
-    theirs = [t for t in nxt if low <= t[1] < last]
-    for k, t in enumerate(mine):
-        if text[t[1] - 1].isspace() and mine[k:] == [u for u in theirs if u[1] >= t[1]]:
-            return t[1]
+    mine, theirs = cur.placed(low, last), nxt.placed(low, last)
+    for k, (_, start, _) in enumerate(mine):
+        if text[start - 1].isspace() and mine[k:] == [t for t in theirs if t[1] >= start]:
+            return start
     return None
 
 
-def with_offsets(path: str) -> Callable[[str], list[Token]]:
+def with_offsets(path: str) -> Callable[[str], Tokens]:
     if path not in _OFFSETS:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
 
-        def encode(text: str) -> list[Token]:
-            e = tok.encode(text, add_special_tokens=False)
-            return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets)]
+        def encode(text: str) -> Tokens:
+            return Tokens(tok.encode(text, add_special_tokens=False))
 
         _OFFSETS[path] = encode
     return _OFFSETS[path]
