@@ -38,7 +38,7 @@ def released(*tables: DataFrame) -> None:
             if "/tracehound/" not in path:
                 raise ValueError(f"not a table of written(): {path}")
             jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+            where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(path))  # inputFiles() gives encoded addresses
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
