@@ -2,6 +2,7 @@
 
 import io
 import struct
+import tarfile
 import uuid
 import zipfile
 
@@ -80,6 +81,29 @@ def test_containers(spark):
         containers.mount(data, strict=True).collect()
 
 
+def test_tar_members(spark, tmp_path):
+    held = io.BytesIO()
+    with tarfile.open(fileobj=held, mode="w") as t:
+        for name, data in (("a.txt", b"hello"), ("d/b.bin", bytes(3000))):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    (tmp_path / "x.ova").write_bytes(held.getvalue())
+    want = {("a.txt", 0, 5), ("d/b.bin", 0, 3000)}
+    assert {(r.name, r.offset, r.size) for r in containers.mount(rows(spark, ("x.tar", held.getvalue()))).collect()} == want
+    files = spark.createDataFrame([(str(tmp_path / "x.ova"),)], "source_path string")
+    assert {(r.name, r.offset, r.size) for r in containers.mount_files(files).collect()} == want
+
+
+def test_disk_headers(spark):
+    vhdx = b"vhdxfile" + "QEMU v1".encode("utf-16-le") + bytes(4096 - 22) + b"\xff" * 100
+    got = {r.source_path: r for r in containers.headers(rows(spark, ("a", vhdx), ("b.vhdx", b""), ("c", bytes(600)), ("d.vdi", b"x"), ("e", b"QFI\xfb"))).collect()}
+    assert set(got) == {"a", "b.vhdx", "d.vdi", "e"} and got["a"].creator == "QEMU v1" and 0 < got["a"].header_entropy < 0.2
+    assert got["e"].version is None and got["d.vdi"].image_type is None and got["b.vhdx"].header_entropy == 0
+    bad = containers.mount(rows(spark, ("d.vdi", bytes(600)), ("e.vdi", markers.VDI + bytes(600)))).collect()
+    assert {r.source_path: r.error is None for r in bad} == {"d.vdi": False, "e.vdi": True}
+
+
 def test_markers_and_numbers(spark):
     data = rows(spark, ("a", b"\x00\xff-FVE-FS-"), ("b", b"LUKS"), ("c", b"xxFileVault"), ("key.RKEY", b""))
     assert [r[0] for r in data.orderBy("source_path").select(markers.encryption(F.col("content"), F.col("source_path"))).collect()] == ["bitlocker", "none", "filevault", "keyfile"]

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracehound.operators import markers
+from tracehound.functions.binary import int_be, int_le
+from tracehound.operators import markers, profiles
 from tracehound.sources import ranged
 
 Entry = tuple[str, int, int, bool]
@@ -40,6 +41,7 @@ def _zip(f: BinaryIO) -> list[Entry]:
 
 
 def _tar(f: BinaryIO) -> list[Entry]:
+    f.seek(0)
     with tarfile.open(fileobj=f, mode="r:") as t:
         return [(m.name, 0, m.size, False) for m in t if m.isfile()]
 
@@ -111,6 +113,8 @@ def list_entries(kind: str, f: BinaryIO, size: int, path: str) -> list[Entry]:
             return [(whole, 0, max(struct.unpack_from(">Q", head, 24)[0], size), False)]
         if kind == "vhdx" and (size < 4096 or _at(f, 0, 8) != b"vhdxfile"):
             raise ValueError("VHDX header not found")
+        if kind == "vdi" and (size < 512 or markers.VDI not in _at(f, 0, 512)):
+            raise ValueError("VDI marker not found")
         if kind == "vhd" and (size < 512 or _at(f, size - 512, 8) != b"conectix"):
             raise ValueError("VHD footer not found")
     except (struct.error, tarfile.TarError, IndexError, UnicodeDecodeError) as e:
@@ -158,6 +162,28 @@ def mount_files(files: DataFrame, strict: bool = False) -> DataFrame:
     return _listed(rows, strict, lambda path, _: open(path, "rb"))
 
 
+def headers(ends: DataFrame) -> DataFrame:
+    """What disk images say of themselves, from rows (source_path, content) with their ends (see ranged.edges).
+
+    source_path, kind, creator and header_entropy (vhdx), virtual_size (vhd, qcow2), version, backing_offset
+    and backing_size (qcow2), header_size and image_type (vdi); other sources have no rows.
+    """
+    c = F.col("content")
+    rows = ends.select("source_path", "content", markers.container(c, F.col("source_path")).alias("kind")).where(F.col("kind").isin("vhdx", "vhd", "qcow2", "vdi"))
+    footer = F.substring(c, F.octet_length(c) - 511, F.lit(TAIL))
+    only = lambda kind, value: F.when(F.col("kind") == kind, value)
+    creator = F.get(F.split(F.decode(F.substring(c, 9, 512), "UTF-16LE"), "\\x00"), F.lit(0))
+    known = rows.select(
+        "source_path", "kind", only("vhdx", creator).alias("creator"),
+        only("vhd", int_be(footer, 48, 8)).alias("vhd_size"), only("qcow2", int_be(c, 24, 8)).alias("qcow2_size"),
+        only("qcow2", int_be(c, 4, 4)).cast("long").alias("version"), only("qcow2", int_be(c, 8, 8)).alias("backing_offset"), only("qcow2", int_be(c, 16, 4)).cast("long").alias("backing_size"),
+        only("vdi", int_le(c, 0x40, 4)).cast("long").alias("header_size"), only("vdi", int_le(c, 0x4C, 4)).cast("long").alias("image_type"),
+    )
+    entropy = profiles.entropy(rows.where("kind = 'vhdx'").select("source_path", F.substring(c, 1, HEAD).alias("content"))).withColumnRenamed("entropy", "header_entropy")
+    known = known.join(entropy, "source_path", "left")
+    return known.select("source_path", "kind", "creator", "header_entropy", F.coalesce("vhd_size", "qcow2_size").alias("virtual_size"), "version", "backing_offset", "backing_size", "header_size", "image_type")
+
+
 def samples(spark: SparkSession) -> DataFrame:
     """One small container of three kinds."""
     held = io.BytesIO()

@@ -25,7 +25,8 @@ def encryption(content: Column, path: Column) -> Column:
     )
 
 
-# Type by extension.
+# Mark inside a header, type by extension.
+VDI = b"<<< Oracle VM VirtualBox Disk Image >>>"
 BY_EXTENSION = {"vmdk": "vmdk", "vhdx": "vhdx", "vhd": "vhd", "qcow2": "qcow2", "vdi": "vdi", "ova": "ova", "vpk": "vpk", "wim": "wim", "tib": "tib", "tibx": "tibx", "bak": "bak", "sql": "sql", "dump": "sql", "zip": "archive", "7z": "archive", "rar": "archive", "tar": "archive", "gz": "archive", "bz2": "archive", "xz": "archive"}
 
 
@@ -42,7 +43,7 @@ def container(content: Column, path: Column) -> Column:
         .when(int_le(content, 0, 4) == 0x55AA1234, "vpk")
         .when(starts("4d5357494d000000"), "wim")
         .when((F.octet_length(content) > 265) & (F.substring(content, 258, 5) == F.lit(b"ustar")), "ova")
-        .when(F.contains(F.substring(content, 1, 4096), F.lit(b"<<< Oracle VM VirtualBox Disk Image >>>")), "vdi")
+        .when(F.contains(F.substring(content, 1, 4096), F.lit(VDI)), "vdi")
         .when(by_name[ext].isNotNull(), by_name[ext])
         .when((F.octet_length(content) >= 512) & (footer == F.lit(b"conectix")), "vhd")
         .otherwise("unknown")

@@ -104,6 +104,26 @@ def container_documents(spark, sf_dir):
     return containers.mount(_built(_table(spark, sf_dir, "documents"), _container)).select("source_path", "kind", "name", "offset", "size")
 
 
+def _disk(k: int, text: bytes) -> tuple[str, bytes]:
+    if k % 4 == 0:
+        return f"i/{k}.img", b"vhdxfile" + f"maker {k}".encode("utf-16-le").ljust(4096, b"\0") + text
+    if k % 4 == 1:
+        return f"i/{k}.img", text + (b"conectix" + bytes(40) + struct.pack(">Q", k << 33)).ljust(512, b"\0")
+    if k % 4 == 2:
+        return f"i/{k}.img", b"QFI\xfb" + struct.pack(">IQIIQ", k % 7, 3 * k, k % 100, 0, k << 40) + bytes(40) + text
+    return f"i/{k}.img", (markers.VDI.ljust(0x40, b"\0") + struct.pack("<I", 400 + k) + bytes(8) + struct.pack("<I", k % 5)).ljust(512, b"\0") + text
+
+
+@_query(
+    """SELECT 'i/' || doc_id || '.img' AS source_path, ['vhdx', 'vhd', 'qcow2', 'vdi'][k + 1] AS kind, CASE WHEN k = 0 THEN 'maker ' || doc_id END AS creator,
+    CASE k WHEN 1 THEN doc_id * 8589934592 WHEN 2 THEN doc_id * 1099511627776 END::DECIMAL(20, 0) AS virtual_size, CASE WHEN k = 2 THEN doc_id % 7 END::BIGINT AS version, CASE WHEN k = 2 THEN 3 * doc_id END::DECIMAL(20, 0) AS backing_offset, CASE WHEN k = 2 THEN doc_id % 100 END::BIGINT AS backing_size,
+    CASE WHEN k = 3 THEN 400 + doc_id END::BIGINT AS header_size, CASE WHEN k = 3 THEN doc_id % 5 END::BIGINT AS image_type FROM (SELECT doc_id, doc_id % 4 AS k FROM documents)"""
+)
+def disk_headers_documents(spark, sf_dir):
+    """Each text inside a disk image of one of four kinds: what the image's header says."""
+    return containers.headers(_built(_table(spark, sf_dir, "documents"), _disk)).drop("header_entropy")
+
+
 def _record(k: int, text: bytes) -> tuple[str, bytes]:
     r = bytearray(1024)
     r[:4] = b"FILE"
@@ -338,3 +358,16 @@ def integers_documents(spark, sf_dir):
 @_query("SELECT unnest(['ntfs', 'refs', 'ext4', 'btrfs', 'apfs', 'hfs_plus', 'xfs', 'zfs']) AS name, unnest([true, false, false, false, false, false, false, false]) AS parsed")
 def file_systems(spark, sf_dir):
     return commands.file_systems(spark)
+
+
+@_query(
+    """SELECT 'documents/' || doc_id AS source_path, least(100000, n - k)::BIGINT AS expected, sha256(unhex(substr(h, 2 * k + 1, 200000))) AS sha256
+    FROM (SELECT doc_id, doc_id % 50 * 7 AS k, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents) WHERE k < n"""
+)
+def recovered_digests_documents(spark, sf_dir):
+    """Digests of what a recovery of whole texts from some offset on would write."""
+    d = _documents(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    k = F.regexp_extract("source_path", r"(\d+)$", 1).cast("long") % 50 * 7
+    items = d.select(F.col("source_path").alias("id"), "source_path", none.alias("fp"), none.alias("container"), none.alias("hint"), k.alias("offset"), F.lit(100_000).cast("long").alias("size"), F.octet_length("content").cast("long").alias("length"), F.lit("sig").alias("sig"), F.col("source_path").alias("name"), F.lit("bin").alias("extension"))
+    return recovery.digests(recovery.plan(items), d).select("source_path", "expected", "sha256")
