@@ -31,7 +31,7 @@ from .common import arrow_rows, released, uid_of, written
 
 WIDTH, GRAM, STEP = 200, 32, 16
 #: Suffixes handled at once; bounds a worker's memory for texts of any length.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 #: Row keys are sent to every task up to this many, joined beyond.
 BROADCAST_KEYS = 1_000_000
 
