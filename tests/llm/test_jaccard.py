@@ -88,6 +88,10 @@ def test_folded_parities():
             differ = sum(int(x).bit_count() for x in (bits[i] ^ bits[j]).view(np.uint64))
             assert differ <= len(np.setxor1d(s, t))
     assert jaccard.folded([]).shape == (0, 2)
+    wide = jaccard.folded(sets, jaccard.WIDE).view(np.uint64)
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets):
+            assert np.bitwise_count(wide[i] ^ wide[j]).sum() <= len(np.setxor1d(s, t))
 
 
 @pytest.mark.parametrize("few", [1, 2, 10**6])
@@ -98,6 +102,33 @@ def test_short_and_long_lists(spark, monkeypatch, few):
     assert got == brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("block", [1 << 20, 1 << 16])
+def test_near_copies_below_the_limit(spark, monkeypatch, block):
+    """A large group whose members mostly don't link is compared without rows for its pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(900)]
+    rows = []
+    for i in range(160):
+        t = list(base)
+        for k in range(rng.choice([5, 10, 11, 12, 13, 14, 15])):
+            t[rng.randrange(len(t))] = f"new{i}.{k}"
+        rows.append((i, " ".join(t)))
+    made, written = [], jaccard.written
+
+    def counted(df, tag):
+        out = written(df, tag)
+        if tag in ("pairs", "groups", "links"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == brute(rows, 3, 90) and 10 < len({c for _, _, c in got}) < len(rows)
+    if block == 1 << 20:  # many small cells give more of the links
+        assert max(made) <= 4 * len(rows)  # 12,600 pairs otherwise
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 def test_links_against_all_pairs(spark, monkeypatch, repeated):
     monkeypatch.setattr(jaccard, "BLOCK", 4)

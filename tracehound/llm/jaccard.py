@@ -11,10 +11,12 @@ then share l of them. Shingles that one document alone has take places but need
 Lists of few documents give their pairs at once; a pair goes on to the comparison only if the parities
 of its sets, folded to 128 bits, differ in no more places than the sets of a similar pair can.
 For the longer lists the result is components of links, so equal sets are one vertex, and first each document is
-compared with one document that leads the lists it is in, another one each round; pairs are only formed across
-components that are still apart, which keeps large groups of near copies from being multiplied out.
-Lists whose documents are in one component are left behind after each round.
-Links are counted once the components are known: each is dealt into blocks of sets, and every two blocks are compared.
+compared with one document that leads the lists it is in, another one each round.
+Lists whose documents are in one component are left behind after each round. The lists still open then are put
+together by their leaders: lists that share most of their documents share the leader, too, so two documents meet once for each leader
+and not once for each word that they share. Such a group is dealt into blocks of sets and every two blocks are compared in one
+place, which gives only the links that join components; no rows are made for pairs.
+Links are counted once the components are known, by the blocks of each component.
 """
 
 from __future__ import annotations
@@ -36,17 +38,19 @@ COUNTED = 1.5
 MAX_MATCHES = 4
 #: Price of comparing two sets, in postings read, for each shingle of the set.
 VERIFY_COST = 0.25
-#: Rounds of comparing with one leader before pairs are formed.
+#: Rounds of comparing with one leader before what is still open is compared in blocks.
 ROUNDS = 3
 #: Documents in a list that gives its pairs at once.
 FEW = 8
-#: Pairs are formed at once where lists hold at most so many across components for each posting.
+#: The blocks are compared without such rounds where lists hold at most so many pairs across components for each posting.
 DIRECT = 1
 #: A leader is worth comparing with when it shares more than one in so many of the places of a prefix.
 PROMISING = 4
 
-#: Bytes of a component's sets that are compared with as many others in one place.
+#: Bytes of a group's sets that are compared with as many others in one place.
 BLOCK = 1 << 20
+#: Sets of more hashes are also compared by their parities in 2 to the power of WIDE places.
+FOLDED, WIDE = 100, 11
 
 _MUL = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -92,12 +96,13 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def folded(sets: list[np.ndarray]) -> np.ndarray:
-    """Two longs a set: the parities of its hashes by their first 7 bits. Sets with d hashes of their own differ in d of these bits at most."""
+def folded(sets: list[np.ndarray], bits: int = 7) -> np.ndarray:
+    """Longs for each set: the parities of its hashes by their first bits, two for 7. Sets with d hashes of their own differ in d of these at most."""
+    width = 1 << bits
     own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    cell = (np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(57)).astype(np.int64)
-    odd = (np.bincount(own * 128 + cell, minlength=128 * len(sets)) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).reshape(len(sets), 2)
+    cell = (np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - bits)).astype(np.int64)
+    odd = (np.bincount(own * width + cell, minlength=width * len(sets)) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(len(sets), width // 64)
 
 
 def _posts(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -190,7 +195,7 @@ def _near(percent: int):
 
 
 def _met(lists: DataFrame, percent: int) -> DataFrame:
-    """u, v, l, c: pairs of documents that meet in lists c times and could be similar; they must meet l times.
+    """u, v: pairs of documents that meet in lists and could be similar.
 
     Sizes of similar sets are in the same or in neighbouring classes, which are part of the join's key.
     """
@@ -198,8 +203,59 @@ def _met(lists: DataFrame, percent: int) -> DataFrame:
     lists = lists.withColumn("kind", kind)
     x, y = lists.alias("x"), lists.withColumn("kind", F.explode(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1))).alias("y")
     least = F.least("x.matches", "y.matches")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.uid") < F.col("y.uid")) & (F.col("x.comp") != F.col("y.comp")) & _fits(percent, "x.n", "y.n") & _early("x", percent, least) & _early("y", percent, least) & _near(percent))
-    return met.groupBy(F.col("x.uid").alias("u"), F.col("y.uid").alias("v"), least.alias("l")).agg(F.count("*").alias("c"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.kind") == F.col("y.kind")) & (F.col("x.uid") < F.col("y.uid")) & _fits(percent, "x.n", "y.n") & _early("x", percent, least) & _early("y", percent, least) & _near(percent))
+    return met.select(F.col("x.uid").alias("u"), F.col("y.uid").alias("v")).distinct()
+
+
+def _overlaps(s: np.ndarray, items: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes that s shares with each of the sets that follow each other in items; they have n hashes, none 0."""
+    return np.add.reduceat(s[np.minimum(np.searchsorted(s, items), len(s) - 1)] == items, np.cumsum(n) - n, dtype=np.int64)
+
+
+def _cells(sets: DataFrame, group: str) -> DataFrame:
+    """Rows of sets (items and others) dealt into blocks by their bytes in the group, once for every two blocks i and j that hold the row's own."""
+    many = written(sets.groupBy(group).agg(F.ceil(F.sum(F.length("items")) / BLOCK).alias("blocks")).where("blocks > 1"), "many")
+    large = F.broadcast(many) if many.count() <= BROADCAST_KEYS else many
+    dealt = sets.join(large, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _between(sets: DataFrame, percent: int) -> DataFrame:
+    """Similar pairs (u, v) of each group of sets (lead, uid, comp, items), as many as join the components that are linked in it.
+
+    All pairs across components are compared, those alone in full whose sizes and parities allow it. What
+    is joined in a cell counts as one component there, so a cell gives fewer pairs than it has sets.
+    """
+
+    def cell(key, t):
+        t = t.take(np.argsort(pc.binary_length(t.column("items")), kind="stable"))
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+        uid, block, n = np.asarray(t.column("uid")), np.asarray(t.column("block")), np.array([len(s) for s in sets])
+        comp = np.unique(np.asarray(t.column("comp")), return_inverse=True)[1]
+        one, wide = key[1].as_py() == key[2].as_py(), int(np.searchsorted(n, FOLDED, "right"))
+        parities = [(0, folded(sets).view(np.uint64)), (wide, folded(sets[wide:], WIDE).view(np.uint64))]
+        ends = np.searchsorted(percent * n, 100 * n, "right")
+        u, v = [], []
+        for k, end in enumerate(ends):
+            at = np.arange(k + 1, end)
+            at = at[(comp[at] != comp[k]) & (one | (block[at] != block[k]))]
+            most = n[k] + n[at] - 2 * ((percent * (n[k] + n[at]) + 99 + percent) // (100 + percent))
+            for first, bits in parities:
+                if k >= first and len(at):
+                    near = np.bitwise_count(bits[at - first] ^ bits[k - first]).sum(axis=1) <= most
+                    at, most = at[near], most[near]
+            if len(at):
+                both = _overlaps(sets[k], np.concatenate([sets[x] for x in at]), n[at])
+                at = at[(both > 0) & (100 * both >= percent * (n[k] + n[at] - both))]
+                joined, least = np.unique(comp[at], return_index=True)
+                u += [uid[k]] * len(least)
+                v += list(uid[at[least]])
+                comp[np.isin(comp, joined)] = comp[k]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    cells = _cells(sets, "lead").select("lead", "i", "j", "uid", "comp", "block", "items")
+    return written(cells.groupBy("lead", "i", "j").applyInArrow(cell, "u long, v long"), "links")
 
 
 def _degrees(sets: DataFrame, percent: int) -> DataFrame:
@@ -218,21 +274,15 @@ def _degrees(sets: DataFrame, percent: int) -> DataFrame:
         if len(left) and len(right):
             items = np.concatenate([sets[k] for k in right])
             n = np.array([len(sets[k]) for k in right])
-            starts = np.cumsum(n) - n
             for k in left:
-                s = sets[k]
-                both = np.add.reduceat(s[np.minimum(np.searchsorted(s, items), len(s) - 1)] == items, starts, dtype=np.int64)
-                near = (both > 0) & (100 * both >= percent * (len(s) + n - both)) & (right != k)
+                both = _overlaps(sets[k], items, n)
+                near = (both > 0) & (100 * both >= percent * (len(sets[k]) + n - both)) & (right != k)
                 total[k] += copies[right][near].sum()
                 if not one:
                     total[right[near]] += copies[k]
         return pa.table({"uid": t.column("uid"), "d": pa.array(total)})
 
-    many = written(sets.groupBy("comp").agg(F.ceil(F.sum(F.length("items")) / BLOCK).alias("blocks")).where("blocks > 1"), "many")
-    large = F.broadcast(many) if many.count() <= BROADCAST_KEYS else many
-    dealt = sets.join(large, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("uid"), "blocks"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = cells.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "uid", "block", "copies", "items")
+    cells = _cells(sets, "comp").select("comp", "i", "j", "uid", "block", "copies", "items")
     found = cells.groupBy("comp", "i", "j").applyInArrow(cell, "uid long, d long")
     return written(found.where("d > 0").groupBy(F.col("uid").alias("rep")).agg(F.sum("d").alias("d")), "degrees")
 
@@ -252,16 +302,19 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int, counted: bool
     members = posted.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
     lists = written(posted.join(members, "token"), "lists")
 
+    def sets_of(uids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        asked = written(uids.distinct(), "asked")
+        return asked, written(once(_sets(only(rows, asked), size)), "sets")
+
     def compared(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
-        asked = written(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "asked")
-        sets = written(once(_sets(only(rows, asked), size)), "sets")
+        asked, sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("uid")))
         links = _links(pairs, sets, percent)
         released(pairs, asked, sets)
         return links
 
-    # A similar pair meets in a short list, or else as often as asked for in long ones.
-    links = compared(_met(lists.where(F.col("members") <= FEW).withColumn("comp", F.col("uid")), percent).select("u", "v").distinct())
+    # A similar pair meets in a short list or in a long one.
+    links = compared(_met(lists.where(F.col("members") <= FEW), percent))
     labels = components(spark.createDataFrame([], "uid long, comp long"), links)
     open_ = lists.where(F.col("members") > FEW).drop("members")
     for k in range(ROUNDS + 1):
@@ -280,16 +333,17 @@ def grouped(rows: DataFrame, plain: bool, size: int, percent: int, counted: bool
         released(lists, apart)
         lists, open_ = left, left.drop("lead", "comp")
         last = k == ROUNDS or load["across"] <= DIRECT * load["postings"]
-        if not last:
-            met = left.where((F.col("comp") != F.col("lead.comp")) & _fits(percent, "n", "lead.n"))
-            met = met.groupBy("uid", F.col("lead.uid").alias("v"), "n").agg(F.count("*").alias("c"))
-            met = met.where(F.col("c") * 100 * PROMISING > F.col("n") * (100 - percent))
-            pairs = met.groupBy(F.col("uid").alias("u")).agg(F.max(F.struct("c", "v")).alias("best")).select("u", "best.v")
-        else:
-            pairs = _met(left, percent).where("c >= l").select("u", "v")
-        labels = components(labels, compared(pairs))
         if last:
+            groups = written(left.select(F.col("lead.uid").alias("lead"), "uid", "comp").distinct(), "groups")
+            asked, sets = sets_of(groups.select("uid"))
+            labels = components(labels, _between(groups.join(sets, "uid"), percent))
+            released(groups, asked, sets)
             break
+        met = left.where((F.col("comp") != F.col("lead.comp")) & _fits(percent, "n", "lead.n"))
+        met = met.groupBy("uid", F.col("lead.uid").alias("v"), "n").agg(F.count("*").alias("c"))
+        met = met.where(F.col("c") * 100 * PROMISING > F.col("n") * (100 - percent))
+        pairs = met.groupBy(F.col("uid").alias("u")).agg(F.max(F.struct("c", "v")).alias("best")).select("u", "best.v")
+        labels = components(labels, compared(pairs))
     released(lists, found, spare)
     tops = classes.join(labels.select(F.col("uid").alias("rep"), "comp"), "rep", "left").select("a", "b", "n", "rep", F.coalesce("comp", "rep").alias("comp"), "copies")
     placed = every.select("uid", "n", "a", "b").distinct()
