@@ -129,6 +129,29 @@ def test_near_copies_below_the_limit(spark, monkeypatch, block):
         assert max(made) <= 4 * len(rows)  # 12,600 pairs otherwise
 
 
+def test_keep_one_of_near_copies_below_the_limit(spark, monkeypatch):
+    """As the pipeline calls it: five words, 80 per cent."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        t = [f"w{k}" for k in range(900)]
+        for k in range(rng.choice([5, 12, 14, 15, 16, 17, 18])):
+            t[rng.randrange(len(t))] = f"new{i}.{k}"
+        rows.append((i, " ".join(t)))
+    made, written = [], jaccard.written
+
+    def counted(df, tag):
+        out = written(df, tag)
+        if tag in ("pairs", "groups", "links"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    keep = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in keep.collect()) == [d for d, _, c in brute(rows, 5, 80) if c == d]
+    assert max(made) <= 8 * len(rows)
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 def test_links_against_all_pairs(spark, monkeypatch, repeated):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
